@@ -22,6 +22,7 @@ from platewright.llm.common import SPACE, let, table, text_of, written
 
 WINDOW = 8
 MIN_WORDS = 20
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_distinct")
 
 
 def words_of(text: Column) -> Column:
@@ -98,29 +99,31 @@ def plan(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", sam
         sample = sample.sample(1.5 * sample_rows / n, seed)
     sample = written(sample.limit(sample_rows).repartition(1), "rules-sample")
     text = text_of("_qr_raw")
-    sample = sample.select(text.alias("_qr_text"), words_of(text).alias("_qr_words"))
-    s = stats(F.col("_qr_text"), F.col("_qr_words"))
-    sample.agg(F.count("*")).collect()  # so that the first rule isn't charged for the start
+    sample.agg(F.sum(let(words_of(text), F.size))).collect()  # so that the first rule isn't charged for the start
     found = []
     for rule in rules:
+        rejected = let(words_of(text), lambda w: rule.rejects(stats(text, w)).cast("int"))  # noqa: B023  called at once
         began = time.perf_counter()
-        row = sample.agg(F.count("*").alias("n"), F.count_if(rule.rejects(s)).alias("out")).first()
-        found.append((rule, row["out"] / max(1, row["n"]), time.perf_counter() - began))
+        row = sample.agg(F.count("*").alias("n"), F.sum(rejected).alias("out")).first()
+        found.append((rule, (row["out"] or 0) / max(1, row["n"]), time.perf_counter() - began))
     return sorted(found, key=lambda x: (-x[1] / max(x[2], 1e-6), x[0].name))
 
 
 def cascade(docs: DataFrame, ordered: list[Rule], text_col: str = "text", with_stats: bool = False) -> DataFrame:
     """docs with failed_rule (the first in the order that rejects; null: kept) and, on request, all statistics of every document."""
     text = text_of(text_col)
-    rows = docs.withColumn("_qr_text", text).withColumn("_qr_words", words_of(text))
-    s = stats(F.col("_qr_text"), F.col("_qr_words"))
-    if with_stats:
-        rows = rows.withColumns({f"_qr_{k}": v for k, v in s.items()})
-        s = {k: F.col(f"_qr_{k}") for k in s}
-    verdict = F.lit(None).cast("string")
-    for rule in reversed(ordered):
-        verdict = F.when(rule.rejects(s), F.lit(rule.name)).otherwise(verdict)
-    return rows.withColumn("failed_rule", verdict).drop("_qr_text", "_qr_words")
+
+    def verdict(s: dict[str, Column]) -> Column:
+        found = F.lit(None).cast("string")
+        for rule in reversed(ordered):
+            found = F.when(rule.rejects(s), F.lit(rule.name)).otherwise(found)
+        return found
+
+    if not with_stats:  # one expression that splits the text once: a filter above it may be pushed down and repeat it, but not take it apart
+        return docs.withColumn("failed_rule", let(words_of(text), lambda w: verdict(stats(text, w))))
+    rows = docs.withColumn("_qr_words", words_of(text))
+    rows = rows.withColumns({f"_qr_{k}": v for k, v in stats(text, F.col("_qr_words")).items()}).drop("_qr_words")
+    return rows.withColumn("failed_rule", verdict({k: F.col(f"_qr_{k}") for k in STATS}))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ def test_longest_first_is_the_heap_schedule():
     for item, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
         assert loads[placed[item]] == min(loads)
         loads[placed[item]] += size
-    assert max(loads) - min(loads) <= min(s for _, s in sizes)
+    assert max(loads) - min(loads) <= max(s for _, s in sizes)
 
 
 def test_groups_slots_and_edge_cases(spark):
