@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from platewright.llm import quality_rules, sharding
+from platewright.llm import decontaminate, packing, quality_rules, sharding
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.query,
+    "op6_packing": packing.query,
     "op8_sharding": sharding.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE = {
+    "op2_decontaminate": decontaminate.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
