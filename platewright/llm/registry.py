@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from platewright.llm import decontaminate, packing, quality_rules, sharding
+from platewright.llm import decontaminate, packing, quality_rules, sharding, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op6_packing": packing.query,
     "op8_sharding": sharding.query,
+    "op9_warc": warc.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE = {
+    "op9_warc": warc.SQL,
     "op2_decontaminate": decontaminate.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
