@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from platewright.llm import decontaminate, packing, quality_rules, sharding, warc
+from platewright.llm import decontaminate, packing, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
+    "op5_toxicity": toxicity.query,
     "op6_packing": packing.query,
     "op8_sharding": sharding.query,
     "op9_warc": warc.query,
