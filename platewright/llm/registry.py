@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from platewright.llm import decontaminate, packing, quality_rules, sharding, toxicity, warc
+from platewright.llm import decontaminate, packing, quality_classifier, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.query,
     "op2_decontaminate": decontaminate.query,
     "op5_toxicity": toxicity.query,
     "op6_packing": packing.query,
