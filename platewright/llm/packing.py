@@ -40,31 +40,54 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Text to little-endian 32-bit ids, by way of a memo of white-space separated words with at most ``memo`` of them."""
+    """Texts to little-endian 32-bit ids, by way of a memo of white-space separated words, cleared beyond ``memo`` of them.
 
-    def __init__(self, path: str, memo: int = 300_000):
+    New words are encoded many at once, with a bar between them: a bar among white space is one token
+    of its own, and no word without a bar has it. ASCII letters are lower-cased first, as the tokenizer
+    itself does, unless the text may hold one of its special tokens. Full stops, commas and the like
+    after an ASCII letter or digit are a token run of their own, so a word is encoded without them.
+    """
+
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
-
-    def learn(self, words) -> None:
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
+        bar = self._ids("|")
+        if len(bar) != 1 or self._ids("A").tolist() != self._ids("a").tolist():
+            raise ValueError("this tokenizer has no single token for a bar, or doesn't lower-case")
+        self.bar = bar[0]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: list[bytes]) -> None:
+        split = {w: head for w in words if (head := w.rstrip(b".,!?;:")) and len(head) < len(w) and head[-1:].isalnum()}
+        parts = {*split.values(), *(w[len(head) :] for w, head in split.items()), *(w for w in words if w not in split)}
+        self._learn([w for w in parts if w not in self.known])
+        for w, head in split.items():
+            self.known[w] = self.known[head] + self.known[w[len(head) :]]
+
+    def _learn(self, words: list[bytes]) -> None:
+        odd = [w for w in words if b"|" in w]
+        words = [w for w in words if b"|" not in w]
+        for w in odd:
+            self.known[w] = self._ids(w.decode(errors="replace")).tobytes()
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = self._ids(b" | ".join(part).decode(errors="replace"))
+            data, ends = ids.tobytes(), np.flatnonzero(ids == self.bar).tolist()
+            begin = 0
+            for w, end in zip(part, [*ends, len(ids)], strict=True):
+                self.known[w] = data[4 * begin : 4 * end]
+                begin = end + 1
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > self.memo:
             self.known.clear()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(known.__getitem__, words))
+        self.learn(list(set().union(*words).difference(self.known)))
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
 _ENCODERS: dict = {}
@@ -78,12 +101,13 @@ def _pieces(path: str, window: int, end_id: int):
             _ENCODERS[path] = Encoder(path)
         encode = _ENCODERS[path]
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), batch.column("text")
             out = []
-            for k, doc in enumerate(ids):
-                data = encode(texts[k].as_py() or b"") + tail
-                n = len(data) // 4
-                out += [(doc, s, min(window, n - s), zlib.crc32(data[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                for doc, data in zip(part.column("id").to_pylist(), encode([t or b"" for t in part.column("text").to_pylist()]), strict=True):
+                    data += tail
+                    n = len(data) // 4
+                    out += [(doc, s, min(window, n - s), zlib.crc32(data[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 

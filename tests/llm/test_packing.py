@@ -15,9 +15,10 @@ def test_memo_gives_the_tokenizer_ids():
 
     t = Tokenizer.from_file(p.default_tokenizer())
     encode = p.Encoder(p.default_tokenizer(), memo=3)
-    for text in TEXTS + ["again Hello, World's"]:
-        want = t.encode(text or "", add_special_tokens=False).ids
-        assert np.frombuffer(encode((text or "").encode()), "<u4").tolist() == want
+    texts = [x or "" for x in TEXTS] + ["again Hello, World's", "a|b | || |x", "<|ENDOFTEXT|> <|startoftext|>x", "| |"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for got in (encode([x.encode() for x in texts]), [encode([x.encode()])[0] for x in texts]):
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
 
 
 def test_best_fit_decreasing_equals_a_plain_search():
