@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from platewright.llm import decontaminate, packing, quality_classifier, quality_rules, sharding, toxicity, warc
+from platewright.llm import decontaminate, html_text, packing, quality_classifier, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_html_text": html_text.query,
     "op5_toxicity": toxicity.query,
     "op6_packing": packing.query,
     "op8_sharding": sharding.query,
