@@ -305,9 +305,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-def keep(spark, docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest id (of rows that repeat it, one)."""
-    first = link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+def keep(spark, docs: DataFrame, **how) -> DataFrame:
+    """One document of each component: that with the smallest id (of rows that repeat it, one). Rows with a null id stay."""
+    first = link_components(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
