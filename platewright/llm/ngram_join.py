@@ -8,7 +8,7 @@ A document's set holds the hashes (64 bits) of its distinct n-word shingles. Two
    common to all sets. The order puts frequent shingles last, by a counting sketch over all documents,
    so a passage that many documents share doesn't bring them together. Classes with such a shingle in
    common form a block; blocks with the same members are one.
-3. In a block, shingles are hashed into 64 groups and each class is the point of its group counts. An
+3. In a block, shingles are hashed into groups and each class is the point of its group counts. An
    R-tree over the points is searched breadth first: the sum of coordinate minima bounds the overlap, a
    subtree whose largest coordinates give too little is skipped, and a point once reached leaves the tree.
    The result is a spanning forest of what the bound allows, at most one edge per member.
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from platewright.llm.common import table, written
 from platewright.llm.components import components
 
-GROUPS = 64
+#: (largest set, groups): about 16 of a set's shingles in a group, so that the groups of unlike sets differ enough for the bound.
+CLASSES = ((1 << 10, 1 << 6), (1 << 13, 1 << 9), (1 << 16, 1 << 12), (1 << 62, 1 << 14))
 SLOTS = 1 << 20
 CHUNKS = 64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -61,8 +62,14 @@ def shingles(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(s)
 
 
+def groups_of(n: int) -> int:
+    return next(g for most, g in CLASSES if n <= most)
+
+
 def counts_of(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    """How many shingles are in each group: as many groups as the set's class has, by the first bits of the hash, so that finer groups add up to coarser ones."""
+    groups = groups_of(len(s))
+    return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.uint32)
 
 
 def needed(a, b, percent: int):
@@ -112,8 +119,24 @@ class Tree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def forest(points: np.ndarray, percent: int, verify=None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that the bound allows and, if given, verify(q, rows) confirms."""
+def forest(points: list[np.ndarray], percent: int, verify=None) -> list[tuple[int, int]]:
+    """Edges that connect all pairs which the bound allows and, if given, verify(q, rows) confirms: a forest for each class.
+
+    A class is searched with those of larger classes that its largest sets could link with, their groups added up to its own.
+    """
+    sizes, out = np.array([int(p.sum()) for p in points], np.int64), []
+    for most, groups in CLASSES:
+        rows = [k for k, p in enumerate(points) if len(p) == groups]
+        if rows:
+            rows += [k for k, p in enumerate(points) if len(p) > groups and sizes[k] * percent <= 100 * most]
+            folded = np.array([points[k].reshape(groups, -1).sum(1) for k in rows], np.int64)
+            at = np.array(rows)
+            found = _forest(folded, percent, verify and (lambda q, r, at=at: verify(int(at[q]), at[r])))
+            out += [(rows[a], rows[b]) for a, b in found]
+    return out
+
+
+def _forest(points: np.ndarray, percent: int, verify) -> list[tuple[int, int]]:
     tree, edges = Tree(points), []
     for start in range(len(points)):
         if not tree.alive[start]:
@@ -180,13 +203,14 @@ def _summed(batches):
 
 
 def frequency_levels(rows: DataFrame, n: int) -> np.ndarray:
-    """For each sketch slot how far (powers of two) its count is above eight times the mean."""
+    """For each sketch slot how far, in powers of two, its count is above what chance gives the slots."""
     counted = rows.select("text").mapInArrow(_sketch(n), "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(_summed, "chunk int, counts binary")
     total = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint64)
     for r in counted.collect():  # SLOTS numbers
         total[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
     total = total.reshape(-1).astype(float)
-    return np.floor(np.log2(np.maximum(1, total / max(1.0, 8 * total.mean())))).astype(np.uint8)
+    mean = float(np.median(total))
+    return np.floor(np.log2(np.maximum(1, (total - mean) / (8 + 4 * mean**0.5)))).astype(np.uint8)
 
 
 def prefix(s: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
@@ -231,7 +255,7 @@ def _candidates(percent: int):
     def search(batches):
         out: list[tuple[int, int]] = []
         for group in _groups(batches, ["block", "i", "j"], ["id", "counts"]):
-            points = np.frombuffer(b"".join(c for _, c in group), np.uint32).reshape(len(group), GROUPS).astype(np.int64)
+            points = [np.frombuffer(c, np.uint32) for _, c in group]
             out += [(group[a][0], group[b][0]) for a, b in forest(points, percent)]
             if len(out) > 20_000:
                 yield _edges(out)
@@ -246,7 +270,7 @@ def _links(n: int, percent: int):
         out: list[tuple[int, int]] = []
         for group in _groups(batches, ["block", "i", "j"], ["id", "text"]):
             sets = [shingles(t, n) for _, t in group]
-            points = np.array([counts_of(s) for s in sets], np.int64)
+            points = [counts_of(s) for s in sets]
             out += [(group[a][0], group[b][0]) for a, b in forest(points, percent, Sets(sets, percent).links)]
             if len(out) > 20_000:
                 yield _edges(out)

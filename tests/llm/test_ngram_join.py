@@ -68,14 +68,45 @@ def test_odd_rows(spark):
 
 def test_tree_bound_misses_nothing():
     rng = np.random.default_rng(5)
-    points = rng.poisson(3, (400, j.GROUPS))
-    points[200:] = np.maximum(points[:200] - (rng.random((200, j.GROUPS)) < 0.05), 0)
+    points = rng.poisson(3, (400, 64))
+    points[200:] = np.maximum(points[:200] - (rng.random((200, 64)) < 0.05), 0)
     tree = j.Tree(points)
     for q in range(0, 400, 7):
         overlap = np.minimum(points, points[q]).sum(1)
         assert set(tree.near(q, 85)) == set(np.flatnonzero(overlap >= j.needed(points.sum(1), points[q].sum(), 85)))
 
 
+def test_forest_connects_across_size_classes(monkeypatch):
+    monkeypatch.setattr(j, "CLASSES", ((40, 4), (80, 16), (1 << 62, 64)))
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in list(range(30, 50)) * 2 + list(range(70, 95)):
+        base = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+        keep = base[rng.random(len(base)) > 0.06]
+        sets += [base, keep, np.unique(np.concatenate([base, rng.integers(0, 1 << 63, 4, np.uint64)]))]
+    edges = j.forest([j.counts_of(s) for s in sets], 85, j.Sets(sets, 85).links)
+
+    def parts(pairs):
+        low = list(range(len(sets)))
+
+        def root(x):
+            while low[x] != x:
+                x = low[x]
+            return x
+
+        for a, b in pairs:
+            low[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(x) for x in range(len(sets))]
+
+    real = []
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+                real.append((a, b))
+    assert parts(edges) == parts(real) and len(real) > 50
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(50)] + [(5000, 5000), (None, 3)]
