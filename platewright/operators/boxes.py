@@ -73,8 +73,8 @@ def with_iou(pairs: DataFrame, a: str, b: str, floor_area: bool = False) -> Data
 
 
 def order_corners(points: DataFrame, group: str) -> DataFrame:
-    """The four corners of each group's points: by least and largest x + y, and least and largest y - x (first seen on ties)."""
-    pick = lambda f, e: f(F.struct("x", "y"), F.struct(F.expr(e), (F.col("seq") if f is F.min_by else -F.col("seq"))))
+    """The four corners of each group's points: by least and largest x + y, and least and largest y - x (first seen on ties, then by x and y)."""
+    pick = lambda f, e: f(F.struct("x", "y"), F.struct(F.expr(e), *((F.col(c) if f is F.min_by else -F.col(c)) for c in ("seq", "x", "y"))))
     found = points.groupBy(group).agg(pick(F.min_by, "x + y").alias("tl"), pick(F.max_by, "x + y").alias("br"), pick(F.min_by, "y - x").alias("tr"), pick(F.max_by, "y - x").alias("bl"))
     return found.select(group, *(F.col(f"{c}.{a}").alias(f"{c}_{a}") for c in ("tl", "tr", "br", "bl") for a in ("x", "y")))
 

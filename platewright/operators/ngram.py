@@ -79,5 +79,5 @@ def candidate_table(reads: DataFrame) -> DataFrame:
     rows = rows.withColumn("_c", F.expr(k.compact(SPARK, "plate_text")))
     plain = F.replace(validate(F.col("_c")), F.lit("-"), F.lit(""))
     rows = rows.withColumn("pool", F.array_compact(F.concat(F.array(F.col("raw"), plain), normalize_to_7(F.col("_c")))))
-    rows = rows.select("read_id", "raw", "confidence", F.posexplode("pool").alias("seq", "text")).where("text <> ''")
+    rows = rows.select("read_id", "raw", "confidence", F.posexplode_outer("pool").alias("seq", "text")).where("text <> ''")
     return rows.groupBy("read_id", "raw", "text").agg(F.max("confidence").alias("base_conf"), F.count("*").alias("support"), F.min("seq").alias("seq"))

@@ -75,7 +75,7 @@ def normalize_to_7(text: Column) -> Column:
     added = [inserted(text, i, kind[i]) for kind in KINDS.values() for i in range(7)]
 
     def best(options: list[Column]) -> Column:
-        scored = F.array(*(F.struct((-candidate_score(c)).alias("s"), F.lit(n).alias("n"), c.alias("c")) for n, c in enumerate(options)))
+        scored = F.transform(F.array(*options), lambda c, n: F.struct((-candidate_score(c)).alias("s"), n.alias("n"), c.alias("c")))
         kept = F.filter(scored, lambda x: x["c"].isNotNull())
         return F.slice(F.array_distinct(F.transform(F.array_sort(kept), lambda x: x["c"])), 1, 5)
 
