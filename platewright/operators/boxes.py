@@ -68,6 +68,18 @@ def nms(boxes: DataFrame, group: str = "image_id", threshold: float = 0.45, leas
     return rows.select(group, F.explode(keep).alias("k")).select(group, "k.det_seq", "k.x1", "k.y1", "k.x2", "k.y2", (-F.col("k.s")).alias("confidence"))
 
 
+def detect_flow(full: DataFrame, tiled: DataFrame, threshold: float = 0.45, **retry) -> DataFrame:
+    """Boxes of the whole image and, where a retry is due, of its tiles: merged by suppression if both found any. full: with rows of null confidence for images without boxes."""
+    due = retry_reason(full, **retry).where("reason <> ''")
+    found = full.where("confidence IS NOT NULL").withColumn("source", F.lit("full_frame"))
+    more = nms(tiled).join(tiled.select("image_id", "det_seq").distinct(), ["image_id", "det_seq"]).join(due.select("image_id"), "image_id", "left_semi").withColumn("source", F.lit("tiles"))
+    names = ["image_id", "det_seq", "x1", "y1", "x2", "y2", "confidence", "source"]
+    both = found.select(*names).unionByName(more.select(*names))
+    mixed = both.groupBy("image_id").agg(F.countDistinct("source").alias("n")).where("n > 1").select("image_id")
+    merged = nms(both.join(mixed, "image_id", "left_semi"), threshold=threshold).join(both.select("image_id", "det_seq", "source"), ["image_id", "det_seq"])
+    return merged.select(*names).unionByName(both.join(mixed, "image_id", "left_anti").select(*names)).join(due, "image_id", "left").withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
 def with_iou(pairs: DataFrame, a: str, b: str, floor_area: bool = False) -> DataFrame:
     return pairs.withColumn("iou", F.expr(k.iou(a, b, floor_area)))
 

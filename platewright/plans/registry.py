@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from platewright.functions import kernels as k
 from platewright.functions.dialect import SPARK
-from platewright.functions.tables import LETTERS, NEED, SIMILAR, weight
+from platewright.functions.tables import NEED, SIMILAR
 from platewright.operators import boxes, candidates, evaluate, images, ngram, rollup, tracking, voting
 from platewright.operators.validate import best_correction, normalize_to_7, validate, with_validation
 from platewright.plans.oracle import ORACLE as BUILT
 from platewright.plans.shared import SHARED
 from platewright.plans.views import view
 
-r6 = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6
+r6 = lambda c: F.floor(F.col(c) * 1e6 + 0.5001) / 1e6
 K = ["video_id", "vehicle"]
 
 
@@ -305,4 +305,7 @@ def src_manifest(s, d):
 
 QUERIES = Q
 ORACLE = {name: sql for name, (_, sql) in SHARED.items()} | BUILT
-_ = (LETTERS, weight)
+
+from platewright.plans import more  # noqa: E402  adds to Q, with what is above
+
+ORACLE |= more.SQL
