@@ -58,13 +58,20 @@ ARTICLE_WORDS = frozenset("article articlebody entry post story".split())
 
 
 def _words(value: str) -> set[str]:
-    return {w.lower() for part in re.split(r"[^A-Za-z]+", value) for w in [part, *re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", part)] if w}
+    """The words of class and id names; names like has-sidebar tell of another element and have none."""
+    out: set[str] = set()
+    for name in value.split():
+        words = {w.lower() for part in re.split(r"[^A-Za-z]+", name) for w in [part, *re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", part)] if w}
+        if not words & {"has", "with", "no", "without"}:
+            out |= words
+    return out
 
 
 class _Page:
     """Lines of a page: text, whether it is set aside, letters within links, parent element, article number."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, by_name: bool = True):
+        self.by_name = by_name
         self.lines: list[tuple[str, bool, int, int, int]] = []
         #: tag, own number, set aside, number of the article around it (0: none), in a link
         self.open: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
@@ -125,7 +132,7 @@ class _Page:
 
     def _kind(self, tag: str, attrs: str, aside: bool, article: int) -> tuple[bool, int]:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)} if "=" in attrs else {}
-        role, words = found.get("role", "").lower(), _words(found.get("class", "") + " " + found.get("id", "")) if tag not in ("html", "body") else set()
+        role, words = found.get("role", "").lower(), _words(found.get("class", "") + " " + found.get("id", "")) if self.by_name and tag not in ("html", "body") else set()
         sure = 3 if tag == "article" or "articleBody" in found.get("itemprop", "") else 2 if tag == "main" or role in ("main", "article") else 0
         if tag in ASIDE or role in ASIDE_ROLES or (tag == "header" or "header" in words and not sure) and not article:
             aside = True
@@ -142,7 +149,11 @@ class _Page:
 
 
 def main_lines(page: str, window: int = 3, least: int = 80) -> list[str]:
-    lines = _Page(page).lines
+    """The main text's lines. A page all of whose text is set aside is read again without regard to class and id names."""
+    return _main_lines(_Page(page).lines, window, least) or _main_lines(_Page(page, False).lines, window, least)
+
+
+def _main_lines(lines: list[tuple[str, bool, int, int, int]], window: int, least: int) -> list[str]:
     sized = [0 if aside else len(text) for text, aside, _, _, _ in lines]
     by_article: dict[int, int] = {}
     for n, line in zip(sized, lines, strict=True):

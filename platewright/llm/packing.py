@@ -19,6 +19,7 @@ each. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 
@@ -40,7 +41,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids, by way of a memo of white-space separated words, cleared beyond ``memo`` of them.
+    """Texts to little-endian 32-bit ids, by way of a memo of white-space separated words; beyond ``memo`` of them the later half goes.
 
     New words are encoded many at once, with a bar between them: a bar among white space is one token
     of its own, and no word without a bar has it. ASCII letters are lower-cased first, as the tokenizer
@@ -84,8 +85,8 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > self.memo:
-            self.known.clear()
+        if len(self.known) > self.memo:  # the words met first are the frequent ones
+            self.known = dict(itertools.islice(self.known.items(), self.memo // 2))
         self.learn(list(set().union(*words).difference(self.known)))
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 

@@ -66,6 +66,12 @@ def test_inside_an_article():
     assert h.main_lines(page(body)) == ["Title", "Onetwo three", "a", "b", "x <b> y"]
 
 
+def test_names_that_tell_of_other_elements():
+    body = "<div class='layout has-sidebar'><div id=content><h1>Head</h1><p>" + LONG + "</p></div><div class=sidebar>" + LONG + "</div></div>"
+    assert h.main_lines(page(body)) == ["Head", LONG.strip()]
+    assert h.main_lines(page("<div class=banner-page><p>" + LONG + "</p></div><footer>x</footer>")) == [LONG.strip()]
+
+
 def test_broken_and_empty(spark):
     assert h.main_lines("") == [] and h.main_lines("<p") == [] and h.main_lines("just text") == ["just text"]
     assert h.main_lines("<article><p>a<b>c</p></div></i>d<p>e &am <a href='x") == ["ac", "d", "e &am"]
