@@ -49,7 +49,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the table of a DataFrame that ``written`` gave; nothing that is still to run may read it."""
+    _remove(df.sparkSession, df.scratch_path)
 
 
 def text_of(col: str) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewright.llm.common import written
+from platewright.llm.common import discard, written
 
 
 def _state(e: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        last, e = e, written(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(last)
         before, state = state, _state(e)
         if state == before:
             break
