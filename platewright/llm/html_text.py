@@ -38,6 +38,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+QUOTED, HIDDEN, NO_DISPLAY = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"(?i)(?:^|\s)hidden(?=\s|=|$)"), re.compile(r"(?i)display\s*:\s*none")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open element of the same kind.
@@ -138,7 +139,7 @@ class _Page:
             aside = True
         elif words & ASIDE_WORDS and not (sure and not words & {"comment", "comments", "reply", "teaser", "related"}):
             aside = True
-        elif re.search(r"(?i)\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.sub(r"(?i)overflow\s*:\s*hidden|aria-hidden\s*=\s*\S+|type\s*=\s*[\"']?hidden", "", attrs)):
+        elif HIDDEN.search(QUOTED.sub("", attrs)) or NO_DISPLAY.search(found.get("style", "")):
             aside = True
         if not sure and not article and words & ARTICLE_WORDS and tag in ("div", "section", "td"):
             sure = 1

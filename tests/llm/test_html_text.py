@@ -72,6 +72,11 @@ def test_names_that_tell_of_other_elements():
     assert h.main_lines(page("<div class=banner-page><p>" + LONG + "</p></div><footer>x</footer>")) == [LONG.strip()]
 
 
+def test_hidden_elements():
+    body = "<article><p class='overflow-hidden' aria-hidden=false>One</p><p hidden>Two</p><p style='display: none'>Three</p><div title='hidden'>Four</div></article>"
+    assert h.main_lines(page(body)) == ["One", "Four"]
+
+
 def test_broken_and_empty(spark):
     assert h.main_lines("") == [] and h.main_lines("<p") == [] and h.main_lines("just text") == ["just text"]
     assert h.main_lines("<article><p>a<b>c</p></div></i>d<p>e &am <a href='x") == ["ac", "d", "e &am"]
