@@ -40,6 +40,13 @@ def _shifts(g: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     return {(dy, dx): padded[:, 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
 
 
+def ensure_bgr(image: np.ndarray) -> np.ndarray:
+    """Three channels: grey is repeated, a fourth (alpha) is left out."""
+    if image.ndim == 2:
+        image = image[:, :, None]
+    return np.repeat(image, 3, axis=2) if image.shape[2] == 1 else image[:, :, :3]
+
+
 def filters(g: np.ndarray) -> dict[str, np.ndarray]:
     """Per image: variance of the Laplacian, noise level against a 3 x 3 Gaussian, and the share by which gradients favour one direction."""
     s = _shifts(g.astype(float))

@@ -147,3 +147,32 @@ def with_validation(reads: DataFrame, text: str = "plate_text", hint: str | None
             "issues": F.array_distinct(F.array_compact(issues)),
         }
     ).drop("_correction")
+
+
+def multi_substitution(text: Column, places: int = 4) -> Column:
+    """The most plausible plate from all look-alikes at the first ambiguous places, the first made on ties; null if none is a plate.
+
+    At most six characters to the power of ``places`` texts for each input, as one array.
+    """
+    from platewright.functions.tables import SIMILAR
+
+    table = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*(F.lit(s) for s in x)) for c in SIMILAR for x in (c, [c, *SIMILAR[c]])))
+    places_of = F.slice(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.substr(text, i, F.lit(1)).isin(*SIMILAR)), 1, places)
+
+    def made(at: Column) -> Column:
+        texts = F.array(text)
+        for k in range(places):
+            texts = _swapped(texts, F.get(at, k), table, text)
+        return texts
+
+    plates = F.filter(let(places_of, made), lambda c: c.rlike(OLD) | (c.rlike(MERCOSUL) & ~F.substring(c, 5, 1).isin(*"AEIOU")))
+    formatted = lambda c: F.when(c.rlike(OLD), F.concat(F.substring(c, 1, 3), F.lit("-"), F.substring(c, 4, 4))).otherwise(c)
+    best = F.array_min(F.transform(plates, lambda c, i: F.struct((-prefix_plausibility(c)).alias("p"), i.alias("i"), formatted(c).alias("t"))))
+    return F.when((F.length(text) >= 7) & (F.size(places_of) > 0), best["t"])
+
+
+def _swapped(texts: Column, pos: Column, table: Column, text: Column) -> Column:
+    """Each text with each look-alike (the character itself first) of the original text's character at the place."""
+    options = F.try_element_at(table, F.substr(text, pos, F.lit(1)))
+    each = F.transform(texts, lambda c: F.transform(options, lambda a: F.concat(F.substr(c, F.lit(1), pos - 1), a, F.substr(c, pos + 1, F.lit(99)))))
+    return F.when(pos.isNull(), texts).otherwise(F.flatten(each))

@@ -232,6 +232,106 @@ def track_duration(s, d):
     return voting.individual(observations(s, d), K).selectExpr("video_id", "vehicle", "last_frame - first_frame + 1 AS duration")
 
 
+_CANDS = (
+    o.NEED_SQL, o.PLACES, o.SLOTS, o.SRC, o.CORRECTIONS,
+    f"""made AS (SELECT event_id, s AS raw, confidence, s AS text, 0 AS seq FROM src UNION ALL SELECT event_id, s, confidence, replace({o.VALID}, '-', ''), 1 FROM src LEFT JOIN fixed USING (s) UNION ALL SELECT event_id, src.s, confidence, c, 1 + place FROM src JOIN c7 USING (s)),
+cp AS (SELECT event_id, raw, text, max(confidence) AS base_conf, count(*) AS support, min(seq) AS seq FROM made WHERE text <> '' GROUP BY 1, 2, 3)""",
+)
+SQL["agg_cand_pool"] = w(*_CANDS, select="SELECT event_id AS read_id, text, base_conf, support FROM cp")
+_PRIOR = o.ORACLE["win_temporal_prior"]
+_SCORES = (
+    *_CANDS, o.SIMILAR_SQL, "texts_in AS (SELECT DISTINCT text AS t FROM cp)", o.NGRAM, o.PLATES,
+    _PRIOR[_PRIOR.index("tp AS (") : _PRIOR.index(" SELECT event_id, (floor(")],
+    """prior AS (SELECT event_id, CASE WHEN n > 0 THEN least(1e0, 0.35e0 * n / max_n + 0.2e0 * (last - first + 1) / max_span + 0.2e0 * best + 0.15e0 * bq + 0.1e0 * greatest(chars, least(1e0, n / 5e0))) ELSE 0e0 END AS prior FROM tm)""",
+    """sup AS (SELECT event_id, text, sum(least(1e0, CASE WHEN substr(raw, pos, 1) = substr(text, pos, 1) THEN base_conf WHEN w IS NOT NULL THEN greatest(0.12e0, base_conf * w + (1e0 - base_conf) * 0.25e0) ELSE greatest(0.05e0, (1e0 - base_conf) * 0.6e0) END)) / max(length(text)) AS ocr
+  FROM cp CROSS JOIN (SELECT unnest(range(1, 10)) AS pos) p LEFT JOIN similar_to ON ch = substr(raw, pos, 1) AND alike = substr(text, pos, 1) WHERE pos <= length(text) GROUP BY 1, 2)""",
+    f"""cs AS (SELECT cp.event_id, cp.text, cp.seq, cp.support, 0.3e0 * (0.7e0 * coalesce(ngram, 0e0) + 0.3e0 * base_conf) + 0.3e0 * ocr + 0.2e0 * ({k.pattern_score(D, 'cp.text')}) + 0.1e0 * least(1e0, cp.support) + 0.1e0 * least(1e0, prior) AS c
+  FROM cp JOIN sup ON sup.event_id = cp.event_id AND sup.text = cp.text JOIN prior ON prior.event_id = cp.event_id LEFT JOIN ngrams ON t = cp.text),
+top5 AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(c, 9) DESC, seq) AS place FROM cs)""",
+)
+SQL["cand_score"] = w(*_SCORES, select=f"SELECT event_id AS read_id, text, {sql6('c')} AS composite FROM cs")
+_CHANGES = "(SELECT string_agg(pos || ':' || CASE WHEN substr(s, pos, 1) = '' THEN '_' ELSE substr(s, pos, 1) END || '->' || substr(t5.text, pos, 1), ', ' ORDER BY pos) FROM (SELECT unnest(range(1, 10)) AS pos) p WHERE pos <= length(t5.text) AND substr(s, pos, 1) <> substr(t5.text, pos, 1))"
+SQL["topk_alt"] = w(*_SCORES, select=f"SELECT t5.event_id AS read_id, place, text, {sql6('c / sum(c) OVER (PARTITION BY t5.event_id)')} AS probability, coalesce({_CHANGES}, 'no-change') AS changes, support FROM top5 t5 JOIN src ON src.event_id = t5.event_id WHERE place <= 5")
+
+
+SQL["gate_llm"] = w(
+    *_SCORES,
+    "pr AS (SELECT event_id, place, c / sum(c) OVER (PARTITION BY event_id) AS p FROM top5 WHERE place <= 5)",
+    "gp AS (SELECT event_id, count(*) AS n, max(CASE WHEN place = 1 THEN p END) AS p1, max(CASE WHEN place = 2 THEN p END) AS p2 FROM pr GROUP BY 1)",
+    f"gv AS (SELECT event_id, confidence, {o.VALID} IS NOT NULL AS ok FROM src LEFT JOIN fixed USING (s))",
+    select=f"SELECT event_id AS read_id, {sql6('greatest(0e0, p1 - p2)')} AS gap, CASE WHEN n < 2 THEN 'not_enough_candidates' WHEN NOT ok OR confidence < 0.8e0 OR greatest(0e0, p1 - p2) <= 0.12e0 THEN 'ask' ELSE 'not_needed' END AS reason FROM gp JOIN gv USING (event_id)",
+)
+SQL["img_variant_ocr"] = w(o.SRC, select="SELECT video_id AS crop_id, CAST(frame_number AS INT) AS variant_idx, s AS text, confidence FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, frame_number) AS rn FROM src WHERE s <> '') x WHERE rn = 1")
+
+
+@both(w(o.SRC, o.PREFIXES, select="SELECT event_id FROM src WHERE substr(s, 1, 3) IN (SELECT prefix FROM prefixes)"))
+def jn_prefix_valid(s, d):
+    return reads(s, d).select("event_id", F.substring("compact", 1, 3).alias("prefix")).join(F.broadcast(ngram.prefixes(s)), "prefix", "left_semi").select("event_id")
+
+
+@both(w(o.SLOTS, o.SRC, o.CANDIDATES, select="SELECT s, string_agg(c, ',' ORDER BY place) AS best FROM c7 GROUP BY s"))
+def topk_norm7(s, d):
+    from platewright.operators.validate import normalize_to_7
+
+    rows = reads(s, d).where("length(compact) BETWEEN 6 AND 8").select(F.col("compact").alias("s")).distinct()
+    return rows.select("s", F.array_join(normalize_to_7(F.col("s")), ",").alias("best"))
+
+
+@both(o.ORACLE["calib_grid"].replace("SELECT CAST(n AS BIGINT) AS grid_seq", "SELECT row_number() OVER (ORDER BY " + sql6(k.calib_score("ex", "ch", "fp", "ms")) + " DESC, n) AS place, CAST(n AS BIGINT) AS grid_seq"))
+def srt_leaderboard(s, d):
+    v = Window.orderBy(F.desc("score"), "grid_seq")  # one row per combination of thresholds
+    return Q["calib_grid"](s, d).withColumn("place", F.row_number().over(v).cast("long"))
+
+
+_OPTIONS = "opts AS (SELECT ch, ch AS alt, -1 AS rank FROM similar_to GROUP BY ch UNION ALL SELECT ch, alike, rank FROM similar_to)"
+_AMB = "amb AS (SELECT s, pos, substr(s, pos, 1) AS ch, row_number() OVER (PARTITION BY s ORDER BY pos) AS rn FROM (SELECT DISTINCT s FROM src WHERE length(s) >= 7) q, (SELECT unnest(range(1, 12)) AS pos) p WHERE substr(s, pos, 1) IN (SELECT ch FROM similar_to))"
+_STEP = lambda n, last: f"m{n} AS (SELECT m.s, CASE WHEN a.pos IS NULL THEN m.t ELSE substr(m.t, 1, CAST(a.pos AS INT) - 1) || x.alt || substr(m.t, CAST(a.pos AS INT) + 1) END AS t, m.o * 10 + coalesce(x.rank + 1, 0) AS o FROM {last} m LEFT JOIN amb a ON a.s = m.s AND a.rn = {n} LEFT JOIN opts x ON x.ch = a.ch)"
+
+
+@both(
+    w(
+        o.SRC, o.SIMILAR_SQL, _OPTIONS, _AMB, "m0 AS (SELECT DISTINCT s, s AS t, 0 AS o FROM amb)", *(_STEP(n, f"m{n - 1}") for n in (1, 2, 3, 4)),
+        f"good AS (SELECT s, t, o, ({k.prefix_plausibility('t')}) AS p FROM m4 WHERE regexp_matches(t, '^[A-Z]{{3}}[0-9]{{4}}$') OR ({k.is_mercosul(D, 't')} AND NOT {k.vowel_fifth('t')}))",
+        select="SELECT s, CASE WHEN regexp_matches(t, '[0-9]{4}$') THEN substr(t, 1, 3) || '-' || substr(t, 4) ELSE t END AS plate FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p DESC, o) AS rn FROM good) x WHERE rn = 1",
+    )
+)
+def multi_subst(s, d):
+    from platewright.operators.validate import multi_substitution
+
+    rows = reads(s, d).where("length(compact) >= 7").select(F.col("compact").alias("s")).distinct()
+    return rows.select("s", F.explode_outer(F.array(multi_substitution(F.col("s")))).alias("plate")).where("plate IS NOT NULL")
+
+
+@both(w(o.SRC, select="SELECT event_id, CAST((CASE WHEN substr(s, 1, 3) <> '' THEN 1 ELSE 0 END + CASE WHEN substr(s, 4) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM src"))
+def flt_empty_frag(s, d):
+    parts = F.filter(F.array(F.substring("compact", 1, 3), F.lit(""), F.substring("compact", 4, 99)), lambda p: p != "")
+    return reads(s, d).select("event_id", F.size(parts).cast("long").alias("kept"))
+
+
+def _flat(x, path=()):
+    if isinstance(x, dict):
+        for key in x:
+            yield from _flat(x[key], (*path, key))
+    else:
+        yield ".".join(path), str(x)
+
+
+@both(with_views("SELECT 'video.skip_frames' AS path, '5' AS value UNION ALL SELECT 'temporal_voting.min_observations', '3' UNION ALL SELECT 'ocr.max_variants', '1' UNION ALL SELECT 'ocr.engine', 'paddle' UNION ALL SELECT 'forensic.jpeg_quality', '100' UNION ALL SELECT 'ocr.paddle.lang', 'pt'"))
+def cfg_typed(s, d):
+    from platewright.config import settings
+
+    found = settings({"video": {"vehicle_mode": "stationary", "skip_frames": 0}, "temporal_voting": {"min_observations": 0}, "ocr": {"max_variants": 0, "engine": "x"}, "forensic": {"jpeg_quality": 300}})
+    wanted = ["video.skip_frames", "temporal_voting.min_observations", "ocr.max_variants", "ocr.engine", "forensic.jpeg_quality", "ocr.paddle.lang"]
+    return s.createDataFrame([x for x in _flat(found) if x[0] in wanted], "path string, value string")
+
+
+@both(with_views("SELECT 'a.b' AS path, '1' AS value UNION ALL SELECT 'a.c', '9' UNION ALL SELECT 'd', '2'"))
+def deep_merge(s, d):
+    from platewright.config import merged
+
+    return s.createDataFrame(list(_flat(merged({"a": {"b": 1, "c": 3}, "d": {"e": 1}}, {"a": {"c": 9}, "d": 2}))), "path string, value string")
+
+
 @rows_only
 def prj_detect_flow(s, d):
     rows = boxes.valid_boxes(view(s, d, "boxes")).dropDuplicates(["image_id", "det_seq"])

@@ -84,6 +84,7 @@ SHARED = {
     "img_preprocess": shared("reads", ID | {"variants": "CAST(5 + CASE WHEN motion > 0.35e0 THEN 1 ELSE 0 END + CASE WHEN quality >= 0.75e0 AND snr >= 9 AND motion <= 0.35e0 THEN 0 ELSE 8 END AS BIGINT)"}),
     "img_warp_guard": shared("boxes", {"image_id": "image_id", "det_seq": "det_seq", "ok": "y2 > y1 AND CAST(x2 - x1 AS DOUBLE) / greatest(1, y2 - y1) BETWEEN 0.5e0 * 1.2e0 AND 1.5e0 * 5.0e0"}),
     "iso_ts": shared("videos", {"video_id": "video_id", "stem": "substr(path, 4, length(path) - 7)"}),
+    "adaptive_clip": shared("reads", ID | {"clip": k.adaptive_clip("(quality * 200)", "(confidence * 80)")}),
     "agg_quality_score": shared("reads", ID | {"score": r6("greatest(confidence, quality, 0.5e0 * confidence + 0.5e0 * det_conf)")}),
     "ui_tables": shared("reads", ID | {"plate": lambda q: k.format_plate(q, "plate_text"), "share": "CAST(CAST(floor(confidence * 100 + 0.5e0) AS BIGINT) AS STRING) || '%'", "state": lambda q: f"CASE WHEN {k.is_plate(q, 'c')} THEN 'valid' ELSE 'review' END", "ms": "CAST(ms AS BIGINT)"}, pre=COMPACT),
     "engine_status": shared("reads", {"engine": "'paddle'", "reads": "CAST(count(*) AS BIGINT)", "mean_confidence": r6("avg(confidence)"), "enabled": "true"}),
