@@ -49,7 +49,7 @@ class Encoder:
     after an ASCII letter or digit are a token run of their own, so a word is encoded without them.
     """
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
