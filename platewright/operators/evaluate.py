@@ -40,9 +40,17 @@ def calibrate(records: DataFrame, detector: list[float], ocr: list[float], fallb
     """
     grid = [(n, *g) for n, g in enumerate((d, o, f) for d in detector for o in ocr for f in fallback)]
     options = F.array(*(F.struct(F.lit(n).cast("long").alias("n"), F.lit(d).alias("detector"), F.lit(o).alias("ocr"), F.lit(f).alias("fallback")) for n, d, o, f in grid))
-    rows = records.withColumn("g", F.explode(options))
+    rows = scored(records).withColumn("g", F.explode(options))  # a record is compared once, not once per combination
     kept = (F.col("det_conf") >= F.col("g.detector")) & (F.col("confidence") >= F.col("g.ocr"))
-    rows = rows.withColumns({"predicted": F.when(kept, F.col("predicted")).otherwise(""), "ms": F.col("ms") + F.when(F.col("confidence") < F.col("g.fallback"), 200.0).otherwise(0.0)})
-    found = scored(rows).groupBy("g").agg(*_summary())
+    blank = F.when(F.length("expected") == 0, 1.0).otherwise(0.0)
+    rows = rows.withColumns(
+        {
+            "exact": F.when(kept, F.col("exact")).otherwise(0.0),
+            "chars": F.when(kept, F.col("chars")).otherwise(blank),
+            "wrong": F.when(kept, F.col("wrong")).otherwise(0.0),
+            "ms": F.col("ms") + F.when(F.col("confidence") < F.col("g.fallback"), 200.0).otherwise(0.0),
+        }
+    )
+    found = rows.groupBy("g").agg(*_summary())
     score = F.expr(k.calib_score("exact_rate", "char_accuracy", "false_positive_rate", "avg_ms"))
     return found.select(F.col("g.n").alias("grid_seq"), "g.detector", "g.ocr", "g.fallback", "n", score.alias("score")).orderBy(F.round("score", 9).desc(), "grid_seq")
