@@ -3,11 +3,11 @@
 Markup is stripped into lines, one per block element, each with its text length. Lines of menus, page
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments count as length
 zero: they are told by element, role, class and id. If the page marks its article (article, main,
-role=main, itemprop=articleBody), the lines outside the one with most text count as zero too. Otherwise the lengths are
-summed over sliding windows of three lines; text surges where a sum rises over the threshold and dives
-where it falls back to it, and the stretch between a surge and its dive with the most text is kept, with
-the lines beside it that have the same parent element. Inside the chosen stretch every line with a length
-is kept: nothing is shortened or dropped.
+role=main, itemprop=articleBody), the lines outside all marked elements count as zero too. The lengths of the
+other lines are summed over sliding windows of three lines; text surges where a sum rises over the threshold and dives
+where it falls back to it. Of a page with marks every stretch between a surge and its dive is kept, else the one with the
+most text, with the lines beside it that have the same marked or parent element. Inside the chosen stretch every
+line with a length is kept: nothing is shortened or dropped.
 
 In a line, character references are decoded, white space becomes one space, and ends are trimmed; lines
 are joined by one newline. br counts as white space.
@@ -69,13 +69,13 @@ def _words(value: str) -> set[str]:
 
 
 class _Page:
-    """Lines of a page: text, whether it is set aside, letters within links, parent element, article number."""
+    """Lines of a page: text, whether it is set aside, letters within links, parent element, article number, outermost block."""
 
     def __init__(self, page: str, by_name: bool = True):
         self.by_name = by_name
-        self.lines: list[tuple[str, bool, int, int, int]] = []
-        #: tag, own number, set aside, number of the article around it (0: none), in a link
-        self.open: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
+        self.lines: list[tuple[str, bool, int, int, int, int]] = []
+        #: tag, own number, set aside, number of the article around it (0: none), in a link, outermost block below body (0: none)
+        self.open: list[tuple[str, int, bool, int, bool, int]] = [("", 0, False, 0, False, 0)]
         self.buffer: list[str] = []
         self.linked = 0
         self.marked: dict[int, int] = {}  # article number -> how surely it is one
@@ -100,8 +100,8 @@ class _Page:
         text = " ".join("".join(self.buffer).split())
         if text:
             holder = next((x[1] for x in reversed(self.open) if x[0] in HOLDERS), 0)
-            _, _, aside, article, _ = self.open[-1]
-            self.lines.append((text, aside, self.linked, holder, article))
+            _, _, aside, article, _, top = self.open[-1]
+            self.lines.append((text, aside, self.linked, holder, article, top))
         self.buffer, self.linked = [], 0
 
     def _tag(self, tag: str, ends: bool, attrs: str) -> None:
@@ -127,9 +127,11 @@ class _Page:
         if self.open[-1][0] in stops:
             self.open.pop()
         self.count += 1
-        _, _, aside, article, link = self.open[-1]
+        _, _, aside, article, link, top = self.open[-1]
         aside, article = self._kind(tag, attrs, aside, article)
-        self.open.append((tag, self.count, aside, article, link or tag == "a"))
+        if not top and tag in HOLDERS and tag not in ("html", "body"):
+            top = self.count
+        self.open.append((tag, self.count, aside, article, link or tag == "a", top))
 
     def _kind(self, tag: str, attrs: str, aside: bool, article: int) -> tuple[bool, int]:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)} if "=" in attrs else {}
@@ -154,35 +156,33 @@ def main_lines(page: str, window: int = 3, least: int = 80) -> list[str]:
     return _main_lines(_Page(page).lines, window, least) or _main_lines(_Page(page, False).lines, window, least)
 
 
-def _main_lines(lines: list[tuple[str, bool, int, int, int]], window: int, least: int) -> list[str]:
-    sized = [0 if aside else len(text) for text, aside, _, _, _ in lines]
-    by_article: dict[int, int] = {}
-    for n, line in zip(sized, lines, strict=True):
-        if line[4]:
-            by_article[line[4]] = by_article.get(line[4], 0) + n
-    if by_article and max(by_article.values()):
-        best = max(by_article, key=lambda a: (by_article[a], -a))
-        return [line[0] for n, line in zip(sized, lines, strict=True) if n and line[4] == best]
-    sized = [0 if line[2] * 5 > len(line[0]) * 3 else n for n, line in zip(sized, lines, strict=True)]  # mostly links
+def _main_lines(lines: list[tuple[str, bool, int, int, int, int]], window: int, least: int) -> list[str]:
+    marked = any(line[4] and not line[1] for line in lines)
+    # outside the marked elements, or on a page without them mostly links: zero
+    none = (lambda line: not line[4]) if marked else (lambda line: line[2] * 5 > len(line[0]) * 3)
+    lines = [line for line in lines if not line[1] and not none(line)]
+    sized = [len(line[0]) for line in lines]
     sums = [max((sum(sized[max(0, k - o) : max(0, k - o) + window]) for o in range(window)), default=0) for k in range(len(sized))]
-    best, at = (0, 0, 0), 0
+    stretches, at = [], 0
     while at < len(sums):
-        if sums[at] < least:
-            at += 1
-            continue
         surge = at
         while at < len(sums) and sums[at] >= least:
             at += 1
-        best = max(best, (sum(sized[surge:at]), -surge, at))
-    surge, dive = -best[1], best[2]
-    if not best[0]:  # no surge anywhere: a short page is its lines
-        surge, dive = 0, len(lines)
-    homes = {line[3] for n, line in zip(sized[surge:dive], lines[surge:dive], strict=True) if n}
-    while surge > 0 and lines[surge - 1][3] in homes:
+        if at > surge:
+            stretches.append((surge, at))
+        at += 1
+    if not stretches:  # no surge anywhere: a short page is its lines
+        return [line[0] for line in lines]
+    if not marked:
+        stretches = [max(stretches, key=lambda x: (sum(sized[x[0] : x[1]]), -x[0]))]
+    place = (lambda line: line[4]) if marked else (lambda line: line[3])
+    homes = {place(line) for surge, dive in stretches for line in lines[surge:dive]}
+    surge, dive = stretches[0][0], stretches[-1][1]
+    while surge > 0 and place(lines[surge - 1]) in homes:
         surge -= 1
-    while dive < len(lines) and lines[dive][3] in homes:
+    while dive < len(lines) and place(lines[dive]) in homes:
         dive += 1
-    return [line[0] for n, line in zip(sized[surge:dive], lines[surge:dive], strict=True) if n]
+    return [line[0] for line in lines[surge:dive]]
 
 
 def _extract(batches):

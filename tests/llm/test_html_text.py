@@ -90,3 +90,9 @@ def test_broken_and_empty(spark):
 def test_linear_on_a_long_page():
     assert len(h.main_lines("<article>" + "<p>a</p><" * 60000 + "\"'" * 1000)) >= 60000
     assert re.sub(r"\s", "", html.unescape("&amp;")) == "&"
+
+
+def test_text_in_two_marked_elements():
+    two = "<article><h1>One</h1><p>" + LONG + "</p></article><p>" + LONG * 3 + "</p><article><p>" + LONG * 2 + "</p></article>"
+    assert h.main_lines(page(two)) == ["One", LONG.strip(), (LONG * 2).strip()]
+    assert h.main_lines(page("<main><p>Lede.</p><article><p>" + LONG + "</p></article></main>")) == ["Lede.", LONG.strip()]
