@@ -6,8 +6,8 @@ zero: they are told by element, role, class and id. If the page marks its articl
 role=main, itemprop=articleBody), the lines outside all marked elements count as zero too. The lengths of the
 other lines are summed over sliding windows of three lines; text surges where a sum rises over the threshold and dives
 where it falls back to it. Of a page with marks every stretch between a surge and its dive is kept, else the one with the
-most text, with the lines beside it that have the same marked or parent element. Inside the chosen stretch every
-line with a length is kept: nothing is shortened or dropped.
+most text and those in the same outermost block below body, and from the first to the last line that shares their marked or parent
+elements every line with a length is kept: nothing is shortened or dropped.
 
 In a line, character references are decoded, white space becomes one space, and ends are trimmed; lines
 are joined by one newline. br counts as white space.
@@ -174,15 +174,13 @@ def _main_lines(lines: list[tuple[str, bool, int, int, int, int]], window: int,
     if not stretches:  # no surge anywhere: a short page is its lines
         return [line[0] for line in lines]
     if not marked:
-        stretches = [max(stretches, key=lambda x: (sum(sized[x[0] : x[1]]), -x[0]))]
-    place = (lambda line: line[4]) if marked else (lambda line: line[3])
-    homes = {place(line) for surge, dive in stretches for line in lines[surge:dive]}
-    surge, dive = stretches[0][0], stretches[-1][1]
-    while surge > 0 and place(lines[surge - 1]) in homes:
-        surge -= 1
-    while dive < len(lines) and place(lines[dive]) in homes:
-        dive += 1
-    return [line[0] for line in lines[surge:dive]]
+        best = max(stretches, key=lambda x: (sum(sized[x[0] : x[1]]), -x[0]))
+        blocks = {line[5] for line in lines[best[0] : best[1]]}
+        stretches = [x for x in stretches if any(line[5] in blocks for line in lines[x[0] : x[1]])]
+    place = 4 if marked else 3
+    homes = {line[place] for surge, dive in stretches for line in lines[surge:dive]}
+    inside = [k for k, line in enumerate(lines) if line[place] in homes]
+    return [line[0] for line in lines[inside[0] : inside[-1] + 1]]
 
 
 def _extract(batches):

@@ -96,3 +96,14 @@ def test_text_in_two_marked_elements():
     two = "<article><h1>One</h1><p>" + LONG + "</p></article><p>" + LONG * 3 + "</p><article><p>" + LONG * 2 + "</p></article>"
     assert h.main_lines(page(two)) == ["One", LONG.strip(), (LONG * 2).strip()]
     assert h.main_lines(page("<main><p>Lede.</p><article><p>" + LONG + "</p></article></main>")) == ["Lede.", LONG.strip()]
+
+
+def test_interruptions_without_an_article_element():
+    box = "<ul>" + "<li class=share>Share this with all of your friends" * 6 + "</ul>"
+    cells = "<table>" + "<tr><td>a</td><td>b</td></tr>" * 3 + "</table>"
+    more = "<ul>" + "<li>point" * 6 + "</ul>"
+    want = ["Head", LONG.strip(), *["a", "b"] * 3, *["point"] * 6, (LONG * 2).strip(), "The end."]
+    body = "<h1>Head</h1><p>" + LONG + "</p>" + box + cells + more + "<p>" + LONG * 2 + "</p><p>The end.</p>"
+    assert h.main_lines(page(body)) == want and h.main_lines(page("<div class=page>" + body + "</div>")) == want
+    parts = "<div><div><h1>Head</h1><p>" + LONG + "</p></div>" + cells + more + "<div><p>" + LONG * 2 + "</p><p>The end.</p></div></div>"
+    assert h.main_lines(page(parts)) == want
