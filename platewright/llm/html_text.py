@@ -32,7 +32,7 @@ from platewright.llm.common import table
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|select|title|object|video|audio|canvas)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^<>\"']+|\"[^\"]{0,2000}\"(?=[\s/>])|'[^']{0,2000}'(?=[\s/>]))*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^<>\"']+|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+)>"
     r"|</?[a-zA-Z!?][^<>]*(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,

@@ -107,3 +107,12 @@ def test_interruptions_without_an_article_element():
     assert h.main_lines(page(body)) == want and h.main_lines(page("<div class=page>" + body + "</div>")) == want
     parts = "<div><div><h1>Head</h1><p>" + LONG + "</p></div>" + cells + more + "<div><p>" + LONG * 2 + "</p><p>The end.</p></div></div>"
     assert h.main_lines(page(parts)) == want
+
+
+def test_long_attribute_values():
+    for quote in "\"'":
+        long = f"data-x={quote}{'a > b < c ' * 1000}{quote}"
+        body = f"<nav {long}><p>{LONG * 3}</p></nav><div><article {long}><div {long}>One</div><p>Two</p></article></div><p>{LONG}</p>"
+        assert h.main_lines(page(body)) == ["One", "Two"]
+    for start in ('<a x="', "<a x='", '<a "\'', '<a "" x="'):
+        assert len(h.main_lines("<article><p>a</p>" + start * 60000)) <= 2
