@@ -9,7 +9,7 @@ broadcast. Files hold about ``file_bytes`` each, from the measured mean size of
 
 Reading: ``read`` takes whole files, plain or of gzip members. A record is accepted if its version line,
 header, length and closing blank lines are in order and its block digest, where given, holds. After a
-failed check the reader looks for the next version line (or gzip member), reports the bytes in between
+failed check the reader looks for the next version line or gzip member, whichever comes first, reports the bytes in between
 as a gap with the reason, and goes on. Records and gaps together cover each file exactly.
 
 Edge cases: a null html is an empty payload; null urls and ids give empty header fields and come back as
@@ -133,27 +133,53 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
     return "gzip member without end"
 
 
+def _nexts(data: bytes):
+    """A function from a place to the next one that a version line or a gzip member of records begins at; places only grow."""
+    known = {VERSION: -1, MEMBER: -1}
+
+    def version(at: int) -> int:
+        found = data.find(b"\n" + VERSION, at)
+        return len(data) if found < 0 else found + 1
+
+    def member(at: int, end: int) -> int:
+        while True:  # the magic bytes may also stand inside a member or a block: the next place has to be one that opens, and on records
+            at = data.find(MEMBER, at, end)
+            if at < 0:
+                return end
+            found = _member(data, at)
+            if not isinstance(found, str) and VERSION in found[0]:
+                return at
+            at += 1
+
+    def after(at: int) -> int:
+        if known[VERSION] <= at:
+            known[VERSION] = version(at)
+        if known[MEMBER] <= at:
+            known[MEMBER] = member(at + 1, known[VERSION])
+        return min(known.values())
+
+    return after
+
+
 def salvage(data: bytes):
-    """All that ``_plain`` gives for a file, plain or of gzip members."""
-    if not data.startswith(MEMBER) and (VERSION in data[:4096] or MEMBER not in data):
-        yield from _plain(data)
-        return
-    at = 0
+    """All that ``_plain`` gives for a file of plain records, gzip members or both."""
+    at, after = 0, _nexts(data)
     while at < len(data):
-        found = _member(data, at) if data.startswith(MEMBER, at) else "no gzip member"
-        if isinstance(found, str):
-            after = at + 1
-            while True:  # the magic bytes may also stand inside a member: the next place has to be one that opens
-                after = data.find(MEMBER, after)
-                if after < 0 or not isinstance(_member(data, after), str):
-                    break
-                after += 1
-            after = len(data) if after < 0 else after
-            yield at, after, found, None
-            at = after
+        if data.startswith(MEMBER, at):
+            found = _member(data, at)
+            if not isinstance(found, str):
+                yield from _plain(found[0], at, found[1])
+                at = found[1]
+                continue
         else:
-            yield from _plain(found[0], at, found[1])
-            at = found[1]
+            found = _one(data, at)
+            if not isinstance(found, str):
+                yield at, found[2], found[0], found[1]
+                at = found[2]
+                continue
+        end = after(at)
+        yield at, end, found, None
+        at = end
 
 
 def _payload(head: dict, block: bytes) -> tuple[int | None, bytes]:

@@ -85,3 +85,14 @@ def test_salvage_recovers_later_records_and_logs_the_gap(zipped):
 def test_not_an_archive():
     assert [x[:3] for x in w.salvage(b"nothing here")] == [(0, 12, "no version line")]
     assert list(w.salvage(b"")) == []
+
+
+def test_plain_archive_with_a_damaged_first_line_and_a_gzip_body():
+    def record(k, block):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{k}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    first, zipped, third = record(1, b"a" * 5000), record(2, gzip.compress(b"body" * 99)), record(3, b"c")
+    data = b"X" + first[1:] + zipped + third
+    assert [(b, e, x is None) for b, e, _, x in w.salvage(data)] == [(0, len(first), True), (len(first), len(first + zipped), False), (len(first + zipped), len(data), False)]
+    mixed = b"X" + first[1:] + gzip.compress(third) + zipped
+    assert [x is None for _, _, _, x in w.salvage(mixed)] == [True, False, False]
