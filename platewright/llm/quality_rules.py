@@ -109,8 +109,8 @@ def plan(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", sam
     return sorted(found, key=lambda x: (-x[1] / max(x[2], 1e-6), x[0].name))
 
 
-def cascade(docs: DataFrame, ordered: list[Rule], text_col: str = "text", with_stats: bool = False) -> DataFrame:
-    """docs with failed_rule (the first in the order that rejects; null: kept) and, on request, all statistics of every document."""
+def cascade(docs: DataFrame, ordered: list[Rule], text_col: str = "text", with_stats: bool | tuple[str, ...] = False) -> DataFrame:
+    """docs with failed_rule (the first in the order that rejects; null: kept) and, on request, all or the named statistics of every document; the others are computed in the CASE."""
     text = text_of(text_col)
 
     def verdict(s: dict[str, Column]) -> Column:
@@ -122,15 +122,17 @@ def cascade(docs: DataFrame, ordered: list[Rule], text_col: str = "text", with_s
     if not with_stats:  # one expression that splits the text once: a filter above it may be pushed down and repeat it, but not take it apart
         return docs.withColumn("failed_rule", let(words_of(text), lambda w: verdict(stats(text, w))))
     rows = docs.withColumn("_qr_words", words_of(text))
-    rows = rows.withColumns({f"_qr_{k}": v for k, v in stats(text, F.col("_qr_words")).items()}).drop("_qr_words")
-    return rows.withColumn("failed_rule", verdict({k: F.col(f"_qr_{k}") for k in STATS}))
+    found = stats(text, F.col("_qr_words"))
+    eager = [k for k in STATS if with_stats is True or k in with_stats]
+    rows = rows.withColumns({f"_qr_{k}": found[k] for k in eager})
+    return rows.withColumn("failed_rule", verdict(found | {k: F.col(f"_qr_{k}") for k in eager})).drop("_qr_words")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ordered = [rule for rule, _, _ in plan(docs)]
-    judged = cascade(docs, ordered, with_stats=True)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = cascade(docs, ordered, with_stats=names)
     s = {k: F.col(f"_qr_{k}") for k in names}
     base = RULES[0].rejects(s) | RULES[1].rejects(s)
     return judged.select("doc_id", *(s[k].alias(k) for k in names), base.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"))

@@ -53,3 +53,12 @@ def test_order_changes_nothing_and_names_stay(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert q.keep(spark, docs).count() == 0
+
+
+def test_only_named_statistics_are_computed_for_every_document(spark):
+    texts = ["one two", "word " * 30, "ONE TWO THREE FOUR " * 10, " ".join(f"word{i}" for i in range(40))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    every = q.cascade(docs, q.RULES, with_stats=True)
+    some = q.cascade(docs, q.RULES, with_stats=("n_words",))
+    assert some.columns == ["doc_id", "text", "_qr_n_words", "failed_rule"]
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.select(*some.columns).collect()))
