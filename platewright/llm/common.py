@@ -59,8 +59,19 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df.scratch_path)
 
 
+def named(col: str) -> Column:
+    """The column of that name, dots and blanks in it included."""
+    return F.col("`" + col.replace("`", "``") + "`")
+
+
+def refuse(docs: DataFrame, prefix: str) -> None:
+    """Raises if docs has a column that starts like an operator's work columns, which would take its place."""
+    if found := [c for c in docs.columns if c.lower().startswith(prefix)]:
+        raise ValueError(f"columns {found} start with {prefix}, like this operator's own: rename them first")
+
+
 def text_of(col: str) -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+    return F.coalesce(named(col), F.lit(""))
 
 
 def let(value: Column, body) -> Column:
