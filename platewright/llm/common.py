@@ -64,10 +64,20 @@ def named(col: str) -> Column:
     return F.col("`" + col.replace("`", "``") + "`")
 
 
-def refuse(docs: DataFrame, prefix: str) -> None:
-    """Raises if docs has a column that starts like an operator's work columns, which would take its place."""
-    if found := [c for c in docs.columns if c.lower().startswith(prefix)]:
-        raise ValueError(f"columns {found} start with {prefix}, like this operator's own: rename them first")
+def carrying(docs: DataFrame, prefix: str, keep) -> DataFrame:
+    """keep(docs), with those columns of docs renamed meanwhile that start like the work columns of ``keep``."""
+    taken, names = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower().startswith(prefix):
+            new = f"c{c}"
+            while new.lower() in taken:
+                new = f"c{new}"
+            taken.add(new.lower())
+            names[c] = new
+    if not names:
+        return keep(docs)
+    out, back = keep(docs.select(*(named(c).alias(names.get(c, c)) for c in docs.columns))), {new: c for c, new in names.items()}
+    return out.select(*(named(c).alias(back.get(c, c)) for c in out.columns))
 
 
 def text_of(col: str) -> Column:

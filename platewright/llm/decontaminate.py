@@ -16,7 +16,7 @@ grows with the number of items.
 Edge cases: a null or empty text has no words and no hits and stays; items that are null or have no
 words are ignored; with an empty benchmark nothing is hit; repeated items count by their distinct ids,
 an item whose id is null still makes hits. Repeated documents are judged one by one. Other columns of
-the documents are carried along; the work columns start with ``_dc_``.
+the documents are carried along; the work columns start with ``_dc_``, and ``remove`` carries columns of the input so named too.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewright.llm.common import table
+from platewright.llm.common import carrying, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -244,8 +244,12 @@ def _cutter(columns: list[str], text_col: str):
 
 def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", coverage: tuple[int, int] = (1, 20), **how) -> DataFrame:
     """docs without those whose hit words are at least coverage of their words; hit spans are cut out of the others."""
-    rows = _judged(scan(docs, items, text_col, **how), coverage).where(~F.col("_dc_bad"))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), "_dc_text", "_dc_spans").mapInArrow(_cutter(docs.columns, text_col), docs.schema)
+
+    def kept(docs: DataFrame) -> DataFrame:
+        rows = _judged(scan(docs, items, text_col, **how), coverage).where(~F.col("_dc_bad"))
+        return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), "_dc_text", "_dc_spans").mapInArrow(_cutter(docs.columns, text_col), docs.schema)
+
+    return carrying(docs, "_dc_", kept)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

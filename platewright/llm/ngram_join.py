@@ -16,8 +16,8 @@ A document's set holds the hashes (64 bits) of its distinct n-word shingles. Two
    with exact set sizes after the bound, gives a spanning forest of the links, and its components.
 
 Scale: rows of shingles never shuffle, only prefixes (about 15 of 100 shingles) and the texts of classes
-in candidate groups. A block or group beyond a size is dealt into chunks, and each pair of chunks is a
-task of bounded memory. The sketch has a fixed size.
+in candidate groups. A block or group beyond a size, in rows and in bytes of its points or shingles, is dealt into
+chunks, and each pair of chunks is a task of bounded memory, whatever the length of the documents. The sketch has a fixed size.
 
 Edge cases: a null text or one without words has the empty set and links with nothing; a text of fewer
 words than n is one shingle. Rows that repeat an id are one node. Rows whose id is null link with nothing. Empty
@@ -31,10 +31,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewright.llm.common import table, written
+from platewright.llm.common import named, table, written
 from platewright.llm.components import components
 
 #: (largest set, groups): about 16 of a set's shingles in a group, so that the groups of unlike sets differ enough for the bound.
@@ -83,7 +83,7 @@ class Tree:
     LEAF = 48
 
     def __init__(self, points: np.ndarray):
-        self.points, self.sizes = points, points.sum(1)
+        self.points, self.sizes = points, points.sum(1, dtype=np.int64)
         self.order = np.arange(len(points))
         self.nodes: list[list] = []  # begin, end, left, right, largest coordinates, least size
         self.alive = np.ones(len(points), bool)
@@ -91,13 +91,16 @@ class Tree:
             self._build(0, len(points))
 
     def _build(self, begin: int, end: int) -> int:
-        rows = self.points[self.order[begin:end]]
-        me = len(self.nodes)
-        self.nodes.append([begin, end, -1, -1, rows.max(0), int(rows.sum(1).min())])
+        me, mine = len(self.nodes), self.order[begin:end]
+        most, least = self.points[mine[0]].copy(), self.points[mine[0]].copy()
+        for at in range(0, end - begin, 256):  # no copy of all points
+            rows = self.points[mine[at : at + 256]]
+            np.maximum(most, rows.max(0), out=most)
+            np.minimum(least, rows.min(0), out=least)
+        self.nodes.append([begin, end, -1, -1, most, int(self.sizes[mine].min())])
         if end - begin > self.LEAF:
-            widest = int((rows.max(0) - rows.min(0)).argmax())
             half = (end - begin) // 2
-            self.order[begin:end] = self.order[begin:end][np.argpartition(rows[:, widest], half)]
+            self.order[begin:end] = mine[np.argpartition(self.points[mine, int((most - least).argmax())], half)]
             self.nodes[me][2] = self._build(begin, begin + half)
             self.nodes[me][3] = self._build(begin + half, end)
         return me
@@ -107,7 +110,7 @@ class Tree:
         point, size, found, stack = self.points[q], int(self.sizes[q]), [], [0]
         while stack:
             begin, end, left, right, most, least = self.nodes[stack.pop()]
-            if int(np.minimum(point, most).sum()) < needed(size, least, percent):
+            if int(np.minimum(point, most).sum(dtype=np.int64)) < needed(size, least, percent):
                 continue
             if left >= 0:
                 stack += (left, right)
@@ -115,7 +118,7 @@ class Tree:
             rows = self.order[begin:end]
             rows = rows[self.alive[rows]]
             if len(rows):
-                found.append(rows[np.minimum(self.points[rows], point).sum(1) >= needed(size, self.sizes[rows], percent)])
+                found.append(rows[np.minimum(self.points[rows], point).sum(1, dtype=np.int64) >= needed(size, self.sizes[rows], percent)])
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
@@ -129,7 +132,9 @@ def forest(points: list[np.ndarray], percent: int, verify=None) -> list[tuple[in
         rows = [k for k, p in enumerate(points) if len(p) == groups]
         if rows:
             rows += [k for k, p in enumerate(points) if len(p) > groups and sizes[k] * percent <= 100 * most]
-            folded = np.array([points[k].reshape(groups, -1).sum(1) for k in rows], np.int64)
+            folded = np.empty((len(rows), groups), np.uint32)
+            for at, k in enumerate(rows):
+                folded[at] = points[k].reshape(groups, -1).sum(1)
             at = np.array(rows)
             found = _forest(folded, percent, verify and (lambda q, r, at=at: verify(int(at[q]), at[r])))
             out += [(rows[a], rows[b]) for a, b in found]
@@ -256,6 +261,7 @@ def _candidates(percent: int):
         out: list[tuple[int, int]] = []
         for group in _groups(batches, ["block", "i", "j"], ["id", "counts"]):
             points = [np.frombuffer(c, np.uint32) for _, c in group]
+            group = [(i,) for i, _ in group]
             out += [(group[a][0], group[b][0]) for a, b in forest(points, percent)]
             if len(out) > 20_000:
                 yield _edges(out)
@@ -289,24 +295,30 @@ def chunk_pairs(rows: DataFrame, chunks: Column) -> DataFrame:
     return rows.withColumns({"i": F.least("_c", "_o"), "j": F.greatest("_c", "_o")}).drop("_k", "_c", "_o")
 
 
+def bounded(size: Column, most: int) -> Column:
+    """In how many chunks a block of that size is dealt, so that two of them hold about ``most``."""
+    return F.ceil(2 * size / most)
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, block_rows: int = 8192, group_shingles: int = 2_000_000, broadcast_ids: int = 1_000_000) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, block_rows: int = 8192, block_bytes: int = 16 << 20, group_shingles: int = 2_000_000, broadcast_ids: int = 1_000_000) -> DataFrame:
     """id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("binary").alias("text"))
     level = spark.sparkContext.broadcast(frequency_levels(rows, n))
     described = written(rows.mapInArrow(_described(level, n, percent), "id long, n long, digest binary, counts binary, prefix array<long>"), "shingled")
     named = described.where("n > 0 AND id IS NOT NULL")
     classes = written(named.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     first = written(named.join(classes, (named["digest"] == classes["digest"]) & (F.col("id") == F.col("rep"))).select("id", "n", "counts", "prefix"), "firsts")
 
-    keyed = first.select("id", F.explode("prefix").alias("key")).repartition("key")
-    same = Window.partitionBy("key")
-    blocks = keyed.withColumns({"size": F.count("*").over(same), "block": F.bit_xor(F.xxhash64("id")).over(same)}).where("size > 1").select("block", "size", "id").distinct()
-    blocks = chunk_pairs(blocks, F.ceil(2 * F.col("size") / block_rows)).drop("size")
+    # what a prefix's documents are together is summed map-side; then its rows meet that sum in a join, whose hot keys Spark splits
+    keyed = first.select("id", F.octet_length("counts").alias("w"), F.explode("prefix").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.sum("w").alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("block")).where("size > 1")
+    blocks = keyed.join(sizes, "key").select("block", "size", "bytes", "id").distinct()
+    blocks = chunk_pairs(blocks, F.greatest(bounded(F.col("size"), block_rows), bounded(F.col("bytes"), block_bytes))).drop("size", "bytes")
     points = first.select("id", "counts").distinct()
     found = _dealt(blocks.join(points, "id")).select("block", "i", "j", "id", "counts").mapInArrow(_candidates(percent), "a long, b long")
     group = written(components(found), "groups")
@@ -316,7 +328,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(sized.join(total, "block").select("id", "block", "total"), "members")
     few = members.count() <= broadcast_ids  # 24 bytes each
     texts = rows.join(F.broadcast(members) if few else members, "id")
-    dealt = _dealt(chunk_pairs(texts, F.ceil(2 * F.col("total") / group_shingles))).select("block", "i", "j", "id", "text")
+    dealt = _dealt(chunk_pairs(texts, bounded(F.col("total"), group_shingles))).select("block", "i", "j", "id", "text")
     linked = components(dealt.mapInArrow(_links(n, percent), "a long, b long"))
 
     of_class = classes.join(linked, classes["rep"] == linked["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
@@ -330,10 +342,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep(spark, docs: DataFrame, **how) -> DataFrame:
-    """One document of each component: that with the smallest id (of rows that repeat it, one). Rows with a null id stay."""
+    """One document of each component: that with the smallest id (of rows that repeat it, that with the smallest text, a null text first). Rows with a null id stay."""
     first = link_components(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").select(*map(named, docs.columns))
+    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = kept.join(again, "doc_id", "left_anti").select(*map(named, docs.columns))
+    others = [named(c) for c in docs.columns if c != "text"]
+    one = kept.join(again, "doc_id", "left_semi").select(F.struct(named("text"), *others).alias("_nj_row"), named("doc_id").alias("_nj_id"))
+    one = one.groupBy("_nj_id").agg(F.min("_nj_row").alias("r")).select(*(F.col("r")[c].alias(c) for c in docs.columns))
+    return once.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
 
 
 SQL = r"""

@@ -7,18 +7,21 @@ order changes the time taken, never the verdict: a document is kept if no rule r
 
 Edge cases: a null text counts as the empty text; it has no words and is rejected by ``few_words``.
 Rows are judged one by one, so repeated rows get equal verdicts, and an empty table gives an empty
-result. Columns other than the text are carried along unread; the work columns start with ``_qr_``.
+result. Columns other than the text are carried along unread, whatever their names; ``keep`` also carries
+columns that start like the work columns, ``_qr_``, which ``cascade`` replaces where it reports one of that name.
 """
 
 from __future__ import annotations
 
+import math
+import statistics
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewright.llm.common import SPACE, let, table, text_of, written
+from platewright.llm.common import SPACE, carrying, let, named, table, text_of, written
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -94,23 +97,33 @@ BASE = ("few_words", "repeated_words")
 def plan(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", sample_rows: int = 1000, seed: int = 7) -> list[tuple[Rule, float, float]]:
     """(rule, share rejected, seconds), best order first. The sample has sample_rows rows at most, drawn from the whole table."""
     n = docs.count()
-    sample = docs.select(F.col(text_col).alias("_qr_raw"))
-    if n > 3 * sample_rows:
-        sample = sample.sample(1.5 * sample_rows / n, seed)
-    sample = written(sample.limit(sample_rows).repartition(1), "rules-sample")
+    sample = docs.select(named(text_col).alias("_qr_raw"))
+    if n > sample_rows:  # an even draw over the whole table
+        sample = sample.sample(min(1.0, 1.2 * sample_rows / n), seed).orderBy(F.rand(seed)).limit(sample_rows)
+    sample = written(sample.repartition(1), "rules-sample")
     text = text_of("_qr_raw")
-    sample.agg(F.sum(let(words_of(text), F.size))).collect()  # so that the first rule isn't charged for the start
+
+    def seconds(rejected: Column, runs: int = 3) -> tuple[float, float]:
+        """(share rejected, median time of a few runs after one that compiles)"""
+        took = []
+        for _ in range(runs + 1):
+            began = time.perf_counter()
+            row = sample.agg(F.count("*").alias("n"), F.sum(rejected).alias("out")).first()
+            took.append(time.perf_counter() - began)
+        return (row["out"] or 0) / max(1, row["n"]), statistics.median(took[1:])
+
+    # what every rule pays, the job and the split into words, isn't a rule's own cost
+    _, idle = seconds(let(words_of(text), lambda w: (F.size(w) < 0).cast("int")))
     found = []
     for rule in rules:
-        rejected = let(words_of(text), lambda w: rule.rejects(stats(text, w)).cast("int"))  # noqa: B023  called at once
-        began = time.perf_counter()
-        row = sample.agg(F.count("*").alias("n"), F.sum(rejected).alias("out")).first()
-        found.append((rule, (row["out"] or 0) / max(1, row["n"]), time.perf_counter() - began))
-    return sorted(found, key=lambda x: (-x[1] / max(x[2], 1e-6), x[0].name))
+        share, took = seconds(let(words_of(text), lambda w: rule.rejects(stats(text, w)).cast("int")))  # noqa: B023  called at once
+        found.append((rule, share, max(took - idle, 0.02 * idle)))
+    # costs are told apart by factors of two only: below that it is noise that would change the order from run to run
+    return sorted(found, key=lambda x: (-x[1] / 2 ** round(math.log2(x[2])), x[0].name))
 
 
 def cascade(docs: DataFrame, ordered: list[Rule], text_col: str = "text", with_stats: bool | tuple[str, ...] = False) -> DataFrame:
-    """docs with failed_rule (the first in the order that rejects; null: kept) and, on request, all or the named statistics of every document; the others are computed in the CASE."""
+    """docs with _qr_failed (the first in the order that rejects; null: kept) and, on request, all or the named statistics of every document; the others are computed in the CASE."""
     text = text_of(text_col)
 
     def verdict(s: dict[str, Column]) -> Column:
@@ -120,12 +133,12 @@ def cascade(docs: DataFrame, ordered: list[Rule], text_col: str = "text", with_s
         return found
 
     if not with_stats:  # one expression that splits the text once: a filter above it may be pushed down and repeat it, but not take it apart
-        return docs.withColumn("failed_rule", let(words_of(text), lambda w: verdict(stats(text, w))))
+        return docs.withColumn("_qr_failed", let(words_of(text), lambda w: verdict(stats(text, w))))
     rows = docs.withColumn("_qr_words", words_of(text))
     found = stats(text, F.col("_qr_words"))
     eager = [k for k in STATS if with_stats is True or k in with_stats]
     rows = rows.withColumns({f"_qr_{k}": found[k] for k in eager})
-    return rows.withColumn("failed_rule", verdict(found | {k: F.col(f"_qr_{k}") for k in eager})).drop("_qr_words")
+    return rows.withColumn("_qr_failed", verdict(found | {k: F.col(f"_qr_{k}") for k in eager})).drop("_qr_words")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -135,13 +148,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     judged = cascade(docs, ordered, with_stats=names)
     s = {k: F.col(f"_qr_{k}") for k in names}
     base = RULES[0].rejects(s) | RULES[1].rejects(s)
-    return judged.select("doc_id", *(s[k].alias(k) for k in names), base.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"))
+    return judged.select("doc_id", *(s[k].alias(k) for k in names), base.alias("base_failed"), F.col("_qr_failed").isNull().alias("kept"))
 
 
 def keep(spark, docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
     ordered = [rule for rule, _, _ in plan(docs)]
-    return cascade(docs, ordered).where(F.col("failed_rule").isNull()).select(*docs.columns)
+    return carrying(docs, "_qr_", lambda d: cascade(d, ordered).where(F.col("_qr_failed").isNull()).select(*map(named, d.columns)))
 
 
 SQL = r"""

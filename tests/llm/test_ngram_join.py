@@ -123,3 +123,27 @@ def test_components(spark):
             low[s] = r
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((r["node"], r["component"]) for r in got) == sorted((x, root(x)) for x in list(low))
+
+
+def test_blocks_of_long_documents_are_bounded_by_bytes(spark):
+    """A block of long documents is dealt into chunks; what is found stays the same."""
+    rng = random.Random(31)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(3000)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(3000), 10 if i % 2 else 400):
+            w[k] = f"x{rng.randint(0, 10**9)}"
+        docs.append((i, " ".join(w), 1, 2))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, `a.b` int, id int")
+    want = {r["doc_id"]: r["component_id"] for r in j.link_components(frame).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in j.link_components(frame, block_bytes=20_000, group_shingles=20_000).collect()}
+    assert got == want and len({want[i] for i in range(1, 60, 2)}) == 1
+    assert j.counts_of(j.shingles(docs[0][1].encode(), 4)).nbytes * 60 > 5 * 20_000
+    kept = j.keep(spark, frame)
+    assert kept.columns == frame.columns and kept.count() == len(set(want.values()))
+
+
+def test_of_rows_with_one_id_the_smallest_text_stays(spark):
+    frame = spark.createDataFrame([(1, "b b", 1), (1, "a a", 2), (2, "c", 3), (None, "a a", 4)], "doc_id long, text string, n long")
+    assert sorted(map(str, (tuple(r) for r in j.keep(spark, frame).collect()))) == ["(1, 'a a', 2)", "(2, 'c', 3)", "(None, 'a a', 4)"]

@@ -43,7 +43,7 @@ def test_order_changes_nothing_and_names_stay(spark):
     assert sorted(r.name for r in ordered) == sorted(r.name for r in q.RULES)
     verdicts = []
     for order in (ordered, q.RULES, q.RULES[::-1]):
-        verdicts.append({r["doc_id"]: r["failed_rule"] is None for r in q.cascade(docs, order).collect()})
+        verdicts.append({r["doc_id"]: r["_qr_failed"] is None for r in q.cascade(docs, order).collect()})
     assert verdicts[0] == verdicts[1] == verdicts[2]
     assert {i for i, ok in verdicts[0].items() if ok} == {6, 10}
     kept = q.keep(spark, docs)
@@ -60,5 +60,17 @@ def test_only_named_statistics_are_computed_for_every_document(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     every = q.cascade(docs, q.RULES, with_stats=True)
     some = q.cascade(docs, q.RULES, with_stats=("n_words",))
-    assert some.columns == ["doc_id", "text", "_qr_n_words", "failed_rule"]
+    assert some.columns == ["doc_id", "text", "_qr_n_words", "_qr_failed"]
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.select(*some.columns).collect()))
+
+
+def test_columns_of_any_name_are_carried(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate(TEXTS)], "doc_id long, text string, failed_rule string, `a.b` int, _qr_failed int")
+    kept = q.keep(spark, docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {(i, TEXTS[i], "x", 1, 2) for i in (6, 10)}
+
+
+def test_the_order_is_the_same_each_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    orders = [[(rule.name, share) for rule, share, _ in q.plan(docs)] for _ in range(2)]
+    assert sorted(orders[0]) == sorted(orders[1])
