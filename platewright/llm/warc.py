@@ -4,8 +4,8 @@ Writing: a record per page. Of the records with equal payloads of at least ``lea
 largest page id is a response, the others are revisits that name it; shorter payloads are all responses.
 A record is one line of Spark's text writer, whose separator is the blank lines that end a WARC record:
 so archives are committed like any Spark output, and a lost executor leaves no half files. Who is a
-revisit is found on ids and digests alone; a page's html is shuffled only if that list is too long to
-broadcast. Files hold about ``file_bytes`` each, from the measured mean size of a record.
+revisit is found on ids and digests alone, which are written once. If the revisits are few (counted: at most ``broadcast_ids``) they
+are broadcast and html isn't shuffled at all; else it is, to meet them. Files hold about ``file_bytes`` each, from the measured mean size of a record.
 
 Reading: ``read`` takes whole files, plain or of gzip members. A record is accepted if its version line,
 header, length and closing blank lines are in order and its block digest, where given, holds. After a
@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewright.llm.common import scratch_path, table
+from platewright.llm.common import named, scratch_path, table, text_of, written
 
 END = "\r\n\r\n"
 VERSION = b"WARC/1."
@@ -41,14 +41,16 @@ def urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, date: str = "2000-01-01T00:00:00Z", broadcast_ids: int = 300_000) -> DataFrame:
     """A column ``record``: each record without its closing blank lines."""
-    rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(named(id_col).alias("id"), F.regexp_replace(F.coalesce(named(url_col), F.lit("")), r"[\r\n]", "").alias("url"), text_of(html_col).alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "n": F.octet_length("html")})
-    long = rows.where(F.col("n") >= least).select("id", "digest")
+    long = written(rows.where(F.col("n") >= least).select("id", "digest"), "warc-digests")
     firsts = long.groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     revisits = long.join(firsts, "digest").where("id < first").groupBy("id", "digest").agg(F.max("first").alias("first"))
-    rows = rows.join(revisits, ["id", "digest"], "left")
+    revisits = written(revisits, "warc-revisits")
+    few = revisits.count() <= broadcast_ids  # some 100 bytes each
+    rows = rows.join(F.broadcast(revisits) if few else revisits, ["id", "digest"], "left")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     again = F.col("first").isNotNull()
     block = F.when(again, http).otherwise(F.concat(http, F.col("html")))
@@ -70,7 +72,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write(pages: DataFrame, path: str, html_col: str = "html", file_bytes: int = 16_000_000, **how) -> None:
-    size = pages.agg(F.avg(F.octet_length(html_col)).alias("n")).first()["n"] or 0
+    size = pages.agg(F.avg(F.octet_length(named(html_col))).alias("n")).first()["n"] or 0
     out = records(pages, html_col=html_col, **how).write
     out.option("lineSep", END).option("maxRecordsPerFile", int(max(1, file_bytes // (size + 600)))).text(path)
 

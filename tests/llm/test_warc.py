@@ -96,3 +96,8 @@ def test_plain_archive_with_a_damaged_first_line_and_a_gzip_body():
     assert [(b, e, x is None) for b, e, _, x in w.salvage(data)] == [(0, len(first), True), (len(first), len(first + zipped), False), (len(first + zipped), len(data), False)]
     mixed = b"X" + first[1:] + gzip.compress(third) + zipped
     assert [x is None for _, _, _, x in w.salvage(mixed)] == [True, False, False]
+
+
+def test_revisits_too_many_to_broadcast(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (1500 if i % 3 else 900 + i), 1) for i in range(40)], "page_id long, url string, html string, `a.b` int")
+    assert sorted(r["record"] for r in w.records(pages).collect()) == sorted(r["record"] for r in w.records(pages, broadcast_ids=0).collect())
