@@ -1,10 +1,16 @@
 """Sharding by longest-processing-time scheduling.
 
 Rows with equal texts form a group that must stay in one shard. Groups, largest first, go to the
-least-loaded shard, taken from a heap. The heap runs on the driver over a bounded number of items,
-whatever the input: a group with at least 1/``heavy`` of all bytes is an item of its own (there are
-at most ``heavy`` of them), and the others are summed into ``bundles`` items by a hash of the group,
-so no group is ever split. The largest tail item is small against a shard, so loads end near equal.
+least-loaded shard, taken from a heap; ties go to the lower number. That schedule is exact at every size of the
+input: the driver gets one row per different group size, with the number of groups of that size, and deals a
+class of equal sizes at once. Loads that are below a level take as many as bring them to it, by
+arithmetic; what is left, fewer than there are shards, goes through the heap. D different sizes need at least
+D (D + 1) / 2 bytes of text, so D is bounded by the square root of twice the input: 14 million at 100 TB, and about
+the length of the longest text in practice.
+
+Which groups of a class go to which shard is settled by their number in it. Groups are numbered in cells of about
+``cell_rows`` groups, told by a hash, so no task holds a whole class; a hot group's rows meet their shard in a join whose
+hot keys Spark splits.
 
 Slots are gapless without a global sort: rows are counted by (shard, cell), a running sum over the
 at most ``n_shards * cells`` counts gives each cell its first slot, and rows are numbered in cells.
@@ -17,57 +23,72 @@ input are ignored, so their names can't clash.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewright.llm.common import table, text_of, written
+from platewright.llm.common import named, table, text_of, written
+
+
+def _below(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of the first ``count`` items of one size each load takes before any load is above the highest level that they all reach."""
+    taken = lambda level: [max(0, -((load - level) // size)) for load in loads]  # noqa: E731  items that begin below the level
+    low, high = min(loads), min(loads) + (count + 1) * size
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(taken(mid)) <= count else (low, mid)
+    return taken(low)
 
 
-def longest_first(sizes: list[tuple[int, int]], n_shards: int) -> dict[int, int]:
-    """item -> shard for (item, size): largest first, each to the least-loaded shard; ties go to the lower number."""
-    loads = [(0, shard) for shard in range(n_shards)]
-    placed = {}
-    for item, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(loads)
-        placed[item] = shard
-        heapq.heappush(loads, (load + size, shard))
-    return placed
+def longest_first(classes: Iterable[tuple[int, int]], n_shards: int) -> list[tuple[int, list[int]]]:
+    """For (size, how many items of it), largest first: how many of them go to each shard, each item to the least-loaded one."""
+    loads, out = [0] * n_shards, []
+    for size, count in sorted(classes, reverse=True):
+        given = _below(loads, size, count) if count > 2 * n_shards else [0] * n_shards
+        heap = [(load + n * size, shard) for shard, (load, n) in enumerate(zip(loads, given, strict=True))]
+        heapq.heapify(heap)
+        for _ in range(count - sum(given)):
+            load, shard = heap[0]
+            heapq.heapreplace(heap, (load + size, shard))
+            given[shard] += 1
+        loads = [load + n * size for load, n in zip(loads, given, strict=True)]
+        out.append((size, given))
+    return out
 
 
-def shard_by_size(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 8, bundles: int = 8192, heavy: int = 4096, cells: int = 1024) -> DataFrame:
+def shard_by_size(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 8, cells: int = 1024, cell_rows: int = 100_000, broadcast_classes: int = 100_000) -> DataFrame:
     """One row per row of docs: id, size, text_crc32, shard, slot."""
     spark = docs.sparkSession
     text = text_of(text_col)
     rows = written(
         docs.select(
-            F.col(id_col).alias("id"),
+            named(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.unhex(F.sha2(text, 256)).alias("digest"),
         ),
         "shard-rows",
     )
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    bundle = F.pmod(F.xxhash64("digest"), F.lit(bundles)).cast("int")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    alone = F.col("bytes") * heavy >= F.lit(total)
-    items = (
-        groups.select(F.when(alone, F.col("digest")).alias("digest"), F.when(~alone, bundle).alias("bundle"), "bytes")
-        .groupBy("digest", "bundle")
-        .agg(F.sum("bytes").alias("bytes"))
-        .collect()  # at most heavy + bundles rows
-    )
-    items.sort(key=lambda r: (r["bundle"] is None, r["bundle"] or 0, bytes(r["digest"] or b"")))
-    placed = longest_first([(i, r["bytes"]) for i, r in enumerate(items)], n_shards)
-    lone = spark.createDataFrame([(r["digest"], placed[i]) for i, r in enumerate(items) if r["bundle"] is None], "digest binary, lone_shard int")
-    rest = spark.createDataFrame([(r["bundle"], placed[i]) for i, r in enumerate(items) if r["bundle"] is not None], "bundle int, rest_shard int")
-    put = (
-        rows.withColumn("bundle", bundle)
-        .join(F.broadcast(lone), "digest", "left")
-        .join(F.broadcast(rest), "bundle", "left")
-        .select("id", "size", "text_crc32", F.coalesce("lone_shard", "rest_shard").alias("shard"), F.pmod(F.xxhash64("id", "digest"), F.lit(cells)).cast("int").alias("cell"))
-    )
+    groups = written(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
+    classes = [(r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).collect()]  # a row per different size
+    plan, count = [], dict(classes)
+    for size, given in longest_first(classes, n_shards):
+        ends, total = [], 0
+        for n in given:
+            total += n
+            ends.append(total)
+        plan.append((size, 1 + count[size] // cell_rows, ends))
+    plan = spark.createDataFrame(plan, "bytes long, n_cells int, ends array<long>")
+    plan = F.broadcast(plan) if len(classes) <= broadcast_classes else plan  # some 100 bytes each
+    celled = groups.join(plan, "bytes").withColumn("cell", F.pmod(F.xxhash64("digest"), F.col("n_cells")))
+    firsts = celled.groupBy("bytes", "cell").agg(F.count("*").alias("n"))
+    firsts = firsts.select("bytes", "cell", (F.sum("n").over(Window.partitionBy("bytes").orderBy("cell")) - F.col("n")).alias("first"))
+    numbered = celled.withColumn("number", F.row_number().over(Window.partitionBy("bytes", "cell").orderBy("digest"))).join(firsts, ["bytes", "cell"])
+    # shard k has the numbers from ends[k - 1] to ends[k] of its class
+    shards = numbered.select("digest", F.size(F.filter("ends", lambda end: end < F.col("first") + F.col("number"))).alias("shard"))
+    put = rows.join(written(shards, "shard-of"), "digest").select("id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("id", "digest"), F.lit(cells)).cast("int").alias("cell"))
+    put = written(put, "shard-put")
     counts = put.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     firsts = counts.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("first"))
     number = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("id", "text_crc32"))
