@@ -310,9 +310,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("binary").alias("text"))
     level = spark.sparkContext.broadcast(frequency_levels(rows, n))
     described = written(rows.mapInArrow(_described(level, n, percent), "id long, n long, digest binary, counts binary, prefix array<long>"), "shingled")
-    named = described.where("n > 0 AND id IS NOT NULL")
-    classes = written(named.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    first = written(named.join(classes, (named["digest"] == classes["digest"]) & (F.col("id") == F.col("rep"))).select("id", "n", "counts", "prefix"), "firsts")
+    known = described.where("n > 0 AND id IS NOT NULL")
+    classes = written(known.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    first = written(known.join(classes, (known["digest"] == classes["digest"]) & (F.col("id") == F.col("rep"))).select("id", "n", "counts", "prefix"), "firsts")
 
     # what a prefix's documents are together is summed map-side; then its rows meet that sum in a join, whose hot keys Spark splits
     keyed = first.select("id", F.octet_length("counts").alias("w"), F.explode("prefix").alias("key"))
