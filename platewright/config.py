@@ -48,7 +48,7 @@ def merged(base: dict, over: dict | None) -> dict:
 
 
 def load(path: str | Path) -> dict:
-    """The file's settings (JSON, or YAML where a reader for it is installed) over the defaults; the defaults alone if it can't be read."""
+    """The file's settings (JSON or YAML) over the defaults; the defaults alone if it can't be read. Without an installed YAML reader a YAML file is an ImportError."""
     try:
         text = Path(path).read_text(encoding="utf-8")
         if str(path).endswith(".json"):
@@ -57,7 +57,7 @@ def load(path: str | Path) -> dict:
             import yaml
 
             found = yaml.safe_load(text)
-    except (OSError, ValueError, ImportError):
+    except (OSError, ValueError):
         return settings({})
     except Exception as e:  # noqa: BLE001  a YAML reader's own error type
         if "yaml" not in type(e).__module__:

@@ -9,6 +9,10 @@ class Spark:
     def strip(self, x: str, pattern: str) -> str:
         return f"regexp_replace({x}, r'{pattern}', '')"
 
+    def upper(self, x: str) -> str:
+        """Upper case; a sharp s counts as two letters."""
+        return f"upper({x})"
+
     def matches(self, x: str, pattern: str) -> str:
         return f"({x} rlike r'{pattern}')"
 
@@ -19,6 +23,9 @@ class Spark:
 class Duck(Spark):
     name = "duckdb"
 
+    def upper(self, x: str) -> str:
+        return f"upper(replace({x}, 'ß', 'ss'))"
+
     def strip(self, x: str, pattern: str) -> str:
         return f"regexp_replace({x}, '{pattern}', '', 'g')"
 

@@ -9,7 +9,7 @@ from platewright.functions.tables import MERCOSUL, OLD, OLD_LOOSE, VALIDATOR_RAN
 
 
 def clean_text(q, x):
-    return q.strip(f"upper(trim(coalesce({x}, '')))", "[^A-Z0-9-]")
+    return q.strip(q.upper(f"trim(coalesce({x}, ''))"), "[^A-Z0-9-]")
 
 
 def compact(q, x):
@@ -18,15 +18,15 @@ def compact(q, x):
 
 
 def normalize_plate(q, x):
-    return q.strip(f"upper(coalesce({x}, ''))", r"[^\p{L}\p{N}]")
+    return q.strip(q.upper(f"coalesce({x}, '')"), r"[^\p{L}\p{N}]")
 
 
 def normalize_ocr_text(q, x):
-    return f"replace(replace(upper(trim(coalesce({x}, ''))), ' ', ''), '-', '')"
+    return f"replace(replace({q.upper(f"trim(coalesce({x}, ''))")}, ' ', ''), '-', '')"
 
 
 def clean_plate_ocr(q, x):
-    kept = q.strip(f"upper(coalesce({x}, ''))", "[^A-Z0-9]")
+    kept = q.strip(q.upper(f"coalesce({x}, '')"), "[^A-Z0-9]")
     found = q.extract(kept, "[A-Z]{3}[0-9][A-Z0-9][0-9]{2}")
     return f"CASE WHEN length({kept}) <= 7 THEN {kept} WHEN {found} <> '' THEN {found} ELSE substr({kept}, 1, 7) END"
 

@@ -142,7 +142,7 @@ ORACLE = {
         select=f"SELECT event_id, {r6('CASE WHEN n > 0 THEN least(1e0, 0.35e0 * n / max_n + 0.2e0 * (last - first + 1) / max_span + 0.2e0 * best + 0.15e0 * bq + 0.1e0 * greatest(chars, least(1e0, n / 5e0))) ELSE 0e0 END')} AS prior FROM tm",
     ),
     "flt_limit": with_views("SELECT video_id, frame_number FROM (SELECT video_id, frame_number, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) AS rn FROM reads WHERE (frame_number - 1) % 2 = 0 AND ms >= 50) x WHERE rn <= 10"),
-    "win_artifact_cap": w(SRC, select=f"""SELECT video_id, event_id, n, lpad(CAST(n AS VARCHAR), 3, '0') || '_' || CASE WHEN s = '' THEN 'unknown' ELSE s END || '_' || reasons AS label FROM (SELECT video_id, event_id, s, reasons, row_number() OVER (PARTITION BY video_id ORDER BY frame_number) AS n FROM (SELECT *, concat_ws('_', CASE WHEN NOT {k.is_plate(D, 's')} THEN 'invalid' END, CASE WHEN confidence < 0.75e0 THEN 'lowconf' END) AS reasons FROM src) a WHERE reasons <> '') b WHERE n <= 50"""),
+    "win_artifact_cap": w(SRC, select=f"""SELECT video_id, event_id, n, lpad(CAST(n AS VARCHAR), 3, '0') || '_' || CASE WHEN s = '' THEN 'unknown' ELSE s END || '_' || reasons AS label FROM (SELECT video_id, event_id, s, reasons, row_number() OVER (ORDER BY video_id, frame_number, event_id) AS n FROM (SELECT *, concat_ws('_', CASE WHEN NOT {k.is_plate(D, 's')} THEN 'invalid' END, CASE WHEN confidence < 0.75e0 THEN 'lowconf' END) AS reasons FROM src) a WHERE reasons <> '') b WHERE n <= 50"""),
     "agg_eval": w(EVAL, select=f"SELECT {_SUM} FROM ev"),
     "agg_eval_tag": w(EVAL, select=f"SELECT scenario, {_SUM} FROM (SELECT *, unnest(list_distinct([tag, tag2])) AS scenario FROM ev) x GROUP BY scenario"),
     "char_accuracy": w(EVAL, select=f"SELECT fixture_id, {r6('chars')} AS accuracy FROM ev"),

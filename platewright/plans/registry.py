@@ -160,9 +160,11 @@ def flt_limit(s, d):
 
 @query
 def win_artifact_cap(s, d):
+    """The first 50 artifacts of the whole run, by video and frame; each partition gives 50 rows at most to the numbering."""
     reasons = F.array_join(F.array_compact(F.array(F.when(~F.expr(k.is_plate(SPARK, "compact")), "invalid"), F.when(F.col("confidence") < 0.75, "lowconf"))), "_")
     rows = reads(s, d).withColumn("reasons", reasons).where("reasons <> ''")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_number")).cast("long")).where("n <= 50")
+    order = ("video_id", "frame_number", "event_id")
+    rows = rows.orderBy(*order).limit(50).withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("long"))
     label = F.concat_ws("_", F.lpad(F.col("n").cast("string"), 3, "0"), F.when(F.col("compact") == "", "unknown").otherwise(F.col("compact")), "reasons")
     return rows.select("video_id", "event_id", "n", label.alias("label"))
 

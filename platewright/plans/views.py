@@ -42,7 +42,7 @@ PIXELS = """
 SELECT vec_id AS crop_id, CAST(i AS BIGINT) AS i, greatest(0e0, least(255e0, floor((CAST(v AS DOUBLE) + 0.5e0) * 255e0))) AS p FROM ($exploded) a"""
 
 TEXTS = """
-SELECT CAST(doc_id AS BIGINT) AS id, 'd' AS kind, replace(text, 'ß', 'ss') AS t FROM $documents UNION ALL SELECT CAST(item_id AS BIGINT), 'b', replace(text, 'ß', 'ss') FROM $benchmark"""
+SELECT CAST(doc_id AS BIGINT) AS id, 'd' AS kind, text AS t FROM $documents UNION ALL SELECT CAST(item_id AS BIGINT), 'b', text FROM $benchmark"""
 
 RECORDS = f"""
 SELECT event_id AS fixture_id, CASE WHEN event_id % 23 = 0 THEN '' ELSE true_plate END AS expected, CASE WHEN event_id % 29 = 0 THEN '' ELSE upper(trim(plate_text)) END AS predicted, CASE WHEN event_id % 29 = 0 THEN 0e0 ELSE confidence END AS confidence,

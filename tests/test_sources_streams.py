@@ -1,4 +1,5 @@
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ def test_config(tmp_path):
     assert config.signature(loaded) != config.signature(config.settings({})) and hash(config.signature(loaded))
 
 
+def test_settings_in_yaml_need_a_reader(tmp_path, monkeypatch):
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    (tmp_path / "c.yaml").write_text("pipeline: {crop_margin: 0.2}")
+    with pytest.raises(ImportError):
+        config.load(tmp_path / "c.yaml")
+
+
 def test_payloads(spark):
     bodies = [
         '{"results":[{"plate":"abc 1d23","score":0.4},{"plate":"abc1d23","score":0.9,"region":{"code":"br"},"candidates":[{"plate":"a","score":0.1},{"plate":"b"},{"plate":"c"},{"plate":"d"},{"plate":"e"},{"plate":"f"}]}]}',
