@@ -44,11 +44,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Whether Spark removes the shuffle files of a query when it ends; else they wait for the driver's garbage collector.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, and a lost executor costs no recomputation."""
+    """df written to the shared folder and read again: cuts the lineage, a lost executor costs no recomputation, and the shuffle files go at once."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

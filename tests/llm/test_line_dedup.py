@@ -152,3 +152,21 @@ def test_recall_of_near_copies_alone(spark):
     got = {(r["_ld_id"], r["pos"]) for r in d.dropped_lines(frame, least=40).collect()}
     assert len(near) >= 30 and got <= gone
     assert len(got & near) >= 0.95 * len(near)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from platewright.llm.common import written
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in str(manager.getAllFiles().mkString("|")).split("|") if "shuffle_" in f}
+    before = files()
+    out = written(spark.range(20000).groupBy((F.col("id") % 5000).alias("k")).agg(F.collect_list("id").alias("v")), "shuffled")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 5000
