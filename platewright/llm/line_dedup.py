@@ -35,7 +35,7 @@ from platewright.llm.components import components
 
 PLAIN = 40
 #: Of 64 bits, in the bit map of a line's shingles; a power of two.
-WORDS = 8
+WORDS = 16
 
 
 def long_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -51,27 +51,48 @@ def shingles(line: str, short: int) -> Column:
     return F.transform(F.concat(*map(cut, range(short))), lambda x: F.xxhash64(x))
 
 
-def band_keys(lines: DataFrame, short: int, rows: int) -> DataFrame:
+def word_starts(line: str, wide: int) -> Column:
+    """The hashes of the shingles of ``wide`` characters that follow a blank, one for each place."""
+    return F.transform(F.regexp_extract_all(line, F.lit(f"(?s) (?=(.{{{wide}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
+
+
+def band_sets(lines: DataFrame, short: int) -> DataFrame:
+    """h, bits, s: the sets of hashes that each line of at least ``short`` characters has band keys of, and how many bits name a part of them.
+
+    Like lines have a set of one kind in common: kinds go by numbers of different shingles, and those near a limit have both kinds.
+    """
+    rows = lines.where(F.length("line") >= short).select("h", "line", F.array_distinct(word_starts("line", 2 * short)).alias("w"))
+    # outer: for a plain explode the optimizer adds a filter below it that computes the sets again
+    few = (F.size("w") < 48) | (F.length("line") > 16 * F.size("w"))
+    rows = rows.select("h", "line", "w", F.explode_outer(F.array(F.when(few, F.array_distinct(shingles("line", short + 3))))).alias("m"))
+    # a line of n different shingles has n - 3 different ones that are 3 longer, at least
+    rows = rows.select("h", "w", "m", F.explode_outer(F.array(F.when(F.size("m") <= 64, F.array_distinct(shingles("line", short))))).alias("s"))
+    n = F.size("s")
+    kind = lambda where, bits, s: F.when(where, F.struct(F.lit(bits).alias("bits"), F.col(s).alias("s")))
+    kinds = F.array(kind(F.size("w") >= 32, 4, "w"), kind(F.size("m") >= 29, 4, "m"), kind((n >= 16) & (n <= 38), 3, "s"), kind((n > 0) & (n <= 18), 2, "s"))
+    return rows.select("h", F.explode_outer(F.filter(kinds, lambda x: x.isNotNull())).alias("k")).select("h", "k.bits", "k.s")
+
+
+def band_keys(lines: DataFrame, short: int, rows: int, least: int = 3, most: int = 4) -> DataFrame:
     """key, h: the band keys of every line of at least ``short`` characters.
 
+    Sets in 16 parts have keys of the ``most`` smallest hashes of a part, or of ``least``, the next parts' among them, where it has fewer:
+    a single frequent shingle is no key. The small sets have keys of up to ``rows`` hashes, of one part only, as it is their size that finds like ones.
     The lowest value of each part is sorted in with the hashes, so that a part is a slice between two of
     these marks: found in generated code, without a lambda for each hash.
     """
     start = lambda part, bits: F.call_function("shiftleft", part.cast("long"), F.lit(64) - bits).bitwiseXOR(F.lit(-(1 << 63)))
     marks = lambda bits: F.array(*(start(F.lit(k), F.lit(bits)) for k in range(1 << bits)))
     bits, part = F.col("bits"), F.col("part")
-    keyed = lines.where(F.length("line") >= short).select("h", F.array_distinct(shingles("line", short)).alias("s"))
-    # a set stands in the parts of its size, and in those of the smaller sizes that a like set may have
-    n = F.size("s")
-    classes = F.filter(F.array(F.when(n <= 18, 2), F.when((n >= 16) & (n <= 38), 3), F.when(n >= 32, 4)), lambda x: x.isNotNull())
-    # outer: for a plain explode the optimizer adds a filter below it that computes the sets again
-    keyed = keyed.select("h", "s", F.explode_outer(classes).alias("bits"))
-    keyed = keyed.select("h", "bits", F.sort_array(F.concat("s", F.when(bits == 2, marks(2)).when(bits == 3, marks(3)).otherwise(marks(4)))).alias("s"))
+    keyed = band_sets(lines, short).select("h", "bits", F.sort_array("s").alias("s"))
+    keyed = keyed.select("h", "bits", F.concat("s", F.slice("s", 1, least)).alias("round"), F.sort_array(F.concat("s", F.when(bits == 2, marks(2)).when(bits == 3, marks(3)).otherwise(marks(4)))).alias("s"))
     parts = F.call_function("shiftleft", F.lit(1), bits)
-    keyed = keyed.select("h", "bits", "s", F.explode_outer(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    keyed = keyed.select("h", "bits", "round", "s", F.explode_outer(F.sequence(F.lit(0), parts - 1)).alias("part"))
     after = F.when(part + 1 == parts, F.size("s") + 1).otherwise(F.array_position("s", start(part + 1, bits)).cast("int"))
-    keyed = keyed.select("h", "bits", "s", F.array_position("s", start(part, bits)).cast("int").alias("mark"), after.alias("after")).where("after > mark + 1")
-    return keyed.select(F.xxhash64("bits", F.slice("s", F.col("mark") + 1, F.least(F.lit(rows), F.col("after") - F.col("mark") - 1))).alias("key"), "h")
+    mark = F.array_position("s", start(part, bits)).cast("int")
+    keyed = keyed.select("h", "bits", "round", (mark - part).alias("first"), (after - mark - 1).alias("n")).where("n > 0")
+    taken = F.when(bits == 4, F.greatest(F.lit(least), F.least(F.lit(most), F.col("n")))).otherwise(F.least(F.lit(rows), F.col("n")))
+    return keyed.select(F.xxhash64("bits", F.slice("round", F.col("first"), taken)).alias("key"), "h")
 
 
 def sketched(lines: DataFrame, short: int) -> DataFrame:
@@ -91,13 +112,12 @@ def may_be_alike(a: str, b: str, percent: int) -> Column:
 
 
 def alike_pairs(pairs: DataFrame, a: str, b: str, short: int, percent: int) -> DataFrame:
-    """The pairs whose sets of shingles, each shingle as its 64-bit hash, have at least that Jaccard similarity; empty sets are unlike.
+    """The pairs whose sets of shingles, each shingle as its 64-bit hash, have at least that Jaccard similarity; empty sets are unlike. n and m: the sizes of the sets.
 
     The condition stands in an outer explode, below which a filter isn't pushed: it would compute the sets again.
     """
-    rows = pairs.withColumns({a: shingles(a, short), b: shingles(b, short)})
-    enough = (F.size(a) > 0) & (F.size(F.array_intersect(a, b)) * 100 >= F.size(F.array_union(a, b)) * percent)
-    return rows.select(*(c for c in pairs.columns if c not in (a, b)), F.explode_outer(F.array(enough)).alias("_ld_ok")).where("_ld_ok").drop("_ld_ok")
+    shared = F.size(F.array_intersect(shingles(a, short), shingles(b, short))) * (100 + percent) >= F.greatest(F.lit(1), F.col("n") + F.col("m")) * percent
+    return pairs.select(*(c for c in pairs.columns if c not in (a, b, "n", "m")), F.explode_outer(F.array(shared)).alias("_ld_ok")).where("_ld_ok").drop("_ld_ok")
 
 
 def banded(lines: DataFrame, short: int = 5, rows: int = 7) -> DataFrame:
@@ -109,31 +129,59 @@ def banded(lines: DataFrame, short: int = 5, rows: int = 7) -> DataFrame:
     return near.where("first < last AND (before IS NULL OR before < h)").drop("last")
 
 
-def crossing_pairs(bands: DataFrame, alike: DataFrame, crowd: int = 1000, depth: int = 3) -> DataFrame:
-    """a, b: all lines that share a band, but no component yet. bands: key, h. alike: node, component.
+def prefixes(lines: DataFrame, short: int, percent: int) -> DataFrame:
+    """key, c, h: each line by its bands and, in each, its rarest shingles, as many as make every two lines of that Jaccard similarity share one (the exact prefix filter). lines: h, c, line, keys."""
+    # outer: for a plain explode the optimizer adds a filter below it that computes the sets again
+    rows = lines.select("h", "c", F.explode_outer(F.array_distinct(shingles("line", short))).alias("key")).where("key IS NOT NULL")
+    rows = written(rows, "line-shingles")
+    rare = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("c") < F.max("c")).alias("met"))
+    ranked = rows.join(rare, "key").groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("n", "key", "met"))).alias("s"))
+    # of n shingles at least percent/100, rounded up, are shared; one of them is among the first n + 1 less that number
+    first = F.size("s") + 1 - F.ceil(F.size("s") * percent / F.lit(100)).cast("int")
+    rare = ranked.select("h", "c", F.filter(F.slice("s", 1, first), lambda x: x["met"])["key"].alias("s"))
+    rare = rare.join(lines.select("h", "keys"), "h").select("h", "c", "keys", F.explode("s").alias("s"))
+    return rare.select("h", "c", "s", F.explode("keys").alias("key")).select(F.xxhash64("key", "s").alias("key"), "c", "h")
+
+
+def crossing(bands: DataFrame, alike: DataFrame) -> DataFrame:
+    """key, h, c, others: the lines of every band of several components, each with its own and with the two before it in an order of the band's own."""
+    rows = bands.join(alike, bands["h"] == alike["node"], "left").select("key", "h", F.coalesce("component", "h").alias("c"))
+    band = Window.partitionBy("key")
+    before = lambda k: F.lag(F.struct("h", "c"), k).over(band.orderBy("turn", "h"))
+    rows = rows.withColumn("turn", F.xxhash64("key", "h")).select("key", "h", "c", before(1).alias("x"), before(2).alias("y"), (F.min("c").over(band) < F.max("c").over(band)).alias("several"))
+    return rows.where("several").select("key", "h", "c", F.array("x", "y").alias("others"))
+
+
+def crossing_pairs(bands: DataFrame, alike: DataFrame, texts: DataFrame, short: int, percent: int, crowd: int = 1000) -> DataFrame:
+    """a, b: all lines that share a band, but no component. bands: key, h. alike: node, component. texts: h, line.
 
-    A band of more than ``crowd`` components is split first, by a second key that its lines have, and again up to
-    ``depth`` times; then all its pairs are given, however many.
+    Of a band with more than ``crowd`` such pairs for each of its lines, those that share one of their rarest shingles: all that
+    can be similar, as the prefix filter is exact; so no pair that counts is left out.
     """
     bands = bands.join(alike, bands["h"] == alike["node"], "left").select("key", "h", F.coalesce("component", "h").alias("c"))
-    rows, found = bands, []
-    for step in range(depth + 1):
-        groups = written(rows.groupBy("key", "c").agg(F.collect_set("h").alias("hs")), "line-bands")
-        sizes = written(groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "line-band-sizes")
-        crowded = sizes.where(F.col("n") > crowd).select("key")
-        last = step == depth or crowded.isEmpty()
-        groups = groups.join(sizes if last else sizes.where(F.col("n") <= crowd), "key")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        groups = rows.groupBy("key", "c").agg(F.collect_set("h").alias("hs"))
+        return written(groups, "line-bands")
+
+    def met(groups: DataFrame, keys: DataFrame) -> DataFrame:
+        groups = groups.join(keys.select("key"), "key")
         other = groups.select("key", F.col("c").alias("d"), F.col("hs").alias("gs"))
-        met = groups.join(other, "key").where("c < d").select(F.explode("hs").alias("h"), "gs").select("h", F.explode("gs").alias("g"))
-        found.append(met.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct())
-        if last:
-            break
-        more = bands.select("h", F.col("key").alias("next"))
-        rows = rows.join(crowded, "key", "left_semi").join(more, "h").where("next > key").select(F.xxhash64("key", "next").alias("key"), "h", "c")
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
+        pairs = groups.join(other, "key").where("c < d").select(F.explode("hs").alias("h"), "gs").select("h", F.explode("gs").alias("g"))
+        return pairs.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+
+    groups = grouped(bands)
+    size = F.size("hs").cast("long")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.sum(size).alias("lines"), F.sum(size * size).alias("squares")).where("n > 1")
+    sizes = written(sizes.select("key", (F.col("lines") * F.col("lines") - F.col("squares") > 2 * crowd * F.col("lines")).alias("crowded")), "line-band-sizes")
+    out = met(groups, sizes.where("NOT crowded"))
+    crowded = sizes.where("crowded")
+    if crowded.isEmpty():
+        return out
+    lines = groups.join(crowded, "key", "left_semi").select("key", "c", F.explode("hs").alias("h")).groupBy("h", "c").agg(F.collect_set("key").alias("keys"))
+    lines = written(lines.join(texts.select("h", "line"), "h"), "line-crowds")
+    groups = grouped(prefixes(lines, short, percent))
+    return out.unionByName(met(groups, groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))).distinct()
 
 
 def similar_lines(lines: DataFrame, short: int = 5, percent: int = 80, broadcast_ids: int = 500_000, crowd: int = 1000, **how) -> DataFrame:
@@ -151,15 +199,22 @@ def similar_lines(lines: DataFrame, short: int = 5, percent: int = 80, broadcast
 
     def verified(pairs: DataFrame) -> DataFrame:
         size = lambda c, to: sketches.select(F.col("h").alias(c), F.struct(*(x for x in sketches.columns if x != "h")).alias(to))
-        pairs = pairs.join(size("a", "x"), "a").join(size("b", "y"), "b").where(may_be_alike("x", "y", percent)).select("a", "b")
+        pairs = pairs.join(size("a", "x"), "a").join(size("b", "y"), "b").where(may_be_alike("x", "y", percent)).select("a", "b", F.col("x.n"), F.col("y.n").alias("m"))
         both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
         return written(alike_pairs(both, "x", "y", short, percent), "line-links")
 
-    # first each line with the one before it and the first, which joins most copies; then all that are not joined
+    # first each line with the one before it and the first, which joins most copies; where a band still has several components,
+    # each with two others, not the same in every band; then all that are not joined
     near = bands.where("before < h").select("h", F.explode_outer(F.array_distinct(F.array("before", "first"))).alias("other"))
     near = written(near.select(F.col("other").alias("a"), F.col("h").alias("b")).distinct(), "line-pairs")
     links = verified(near)
-    rest = written(crossing_pairs(bands.select("key", "h"), components(links), crowd).join(near, ["a", "b"], "left_anti"), "line-pairs")
+    last, bands = bands, written(crossing(bands.select("key", "h"), components(links)), "line-bands")
+    discard(last)
+    more = bands.select("h", "c", F.explode("others").alias("x")).where("x.c <> c").select(F.least("h", "x.h").alias("a"), F.greatest("h", "x.h").alias("b")).distinct()
+    more = written(more.join(near, ["a", "b"], "left_anti"), "line-pairs")
+    links = links.unionByName(verified(more))
+    rest = crossing_pairs(bands.select("key", "h"), components(links), texts, short, percent, crowd)
+    rest = written(rest.join(near.unionByName(more), ["a", "b"], "left_anti"), "line-pairs")
     alike = components(links.unionByName(verified(rest)))
     return texts.join(alike, texts["h"] == alike["node"]).select("h", "g", "component")
 

@@ -154,6 +154,25 @@ def test_recall_of_near_copies_alone(spark):
     assert len(got & near) >= 0.95 * len(near)
 
 
+def test_no_pair_of_a_crowded_band_is_left_out(spark):
+    """Lines that share one band and no other: every two similar ones are given, whatever ``crowd`` is."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(4, 8)))
+    template, lines = [word() for _ in range(30)], []
+    for _ in range(40):
+        w = list(template)
+        for k in (5, 18, 25):
+            w[k] = word() + word()
+        lines += [" ".join(w), " ".join(w) + "!"]
+    similar = {(i, j) for i in range(80) for j in range(i + 1, 80) if len(shingle_set(lines[i]) & shingle_set(lines[j])) >= 0.8 * len(shingle_set(lines[i]) | shingle_set(lines[j]))}
+    bands = spark.createDataFrame([(7, i) for i in range(80)], "key long, h long")
+    texts, alone = spark.createDataFrame(list(enumerate(lines)), "h long, line string"), spark.createDataFrame([], "node long, component long")
+    assert len(similar) >= 40
+    got = {crowd: {(r["a"], r["b"]) for r in d.crossing_pairs(bands, alone, texts, 5, 80, crowd).collect()} for crowd in (1, 1000)}
+    assert similar <= got[1] <= got[1000] and len(got[1000]) == 80 * 79 / 2
+    assert len(got[1]) < len(got[1000])
+
+
 def test_shuffle_files_go_with_their_query(spark):
     import time
 
