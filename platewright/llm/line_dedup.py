@@ -4,12 +4,12 @@ Of all lines in all documents, one is kept of each group of exact or near copies
 (document id, line number). Lines of every length take part; of those under ``PLAIN`` characters the blank and
 wordless ones (no letter or digit) are always kept, and ``least`` can keep all shorter ones.
 
-Candidates: all shingles of ``short`` characters of a line are hashed, and the hashes dealt to 16 parts by their
-highest bits; the ``rows`` smallest of each part are a band key (one-permutation MinHash). Lines of under 32 shingles
-have 8 parts and of under 16 have 4: more than the shingles that near copies of that size differ in, so one
-part is equal. Longer near copies miss all keys rarely (a test measures the recall); other lines rarely share even one key. In a band
-each line is paired with the one before it and the first; then, with the components of these links known, with
-every line of another component. Bands of too many components are split by further keys of their lines before that.
+Candidates: shingles longer than ``short`` (those after blanks, or all of a line with few of these) are hashed, and the hashes dealt to 16
+parts by their highest bits; the three or four smallest from the start of each part are a band key (one-permutation MinHash). Lines of up to 38
+different shingles of ``short`` characters have 8 parts of these and of up to 18 have 4: more than the shingles that near copies of that size
+differ in, so one part is equal. Longer near copies miss all keys rarely (a test measures the recall); other lines rarely share even one key.
+In a band each line is paired with the one before it and the first; where that leaves several components, with two others; then with
+every line of another component. Bands of too many such pairs give those that an exact prefix filter can't rule out.
 
 Verification: pairs whose sizes or bit maps prove that they differ in too many shingles go first, without their texts;
 then exact Jaccard of the sets of all ``short``-character shingles, at least ``percent``/100. Pairs that pass are joined by connected components, and each component keeps one line.
