@@ -8,16 +8,16 @@ Candidates: shingles longer than ``short`` (those after blanks, or all of a line
 parts by their highest bits; the three or four smallest from the start of each part are a band key (one-permutation MinHash). Lines of up to 38
 different shingles of ``short`` characters have 8 parts of these and of up to 18 have 4: more than the shingles that near copies of that size
 differ in, so one part is equal. Longer near copies miss all keys rarely (a test measures the recall); other lines rarely share even one key.
-In a band each line is paired with the one before it and the first; where that leaves several components, with two others; then with
-every line of another component. Bands of too many such pairs give those that an exact prefix filter can't rule out.
+In a band each line is paired with the one before it and the first; where that leaves several components, with every line of another
+component. The join compares sizes and bit maps, so that only pairs that these can't rule out become rows.
 
 Verification: pairs whose sizes or bit maps prove that they differ in too many shingles go first, without their texts;
 then exact Jaccard of the sets of all ``short``-character shingles, at least ``percent``/100. Pairs that pass are joined by connected components, and each component keeps one line.
 
 Scale: exact copies are one node by 128 bits of hash of the line, and meet map-side, so a frequent line is one row per task.
 Each different line shuffles once, then keys, ids and the texts of candidate lines, and at last each text once to meet its dropped
-line numbers. The lines of a hot component meet the line that is kept salted; a hot band key costs a sort, and the square
-of its components: near copies are one, so only families of lines that are alike, but not enough, make many pairs.
+line numbers. The lines of a hot component meet the line that is kept salted. A hot band key costs a sort, and comparisons of bit maps that still grow with
+the square of its lines; rows don't, but for families of lines whose similarity is just under ``percent``, which their maps can't tell.
 
 Edge cases: null and empty texts have no lines and stay as they are. Rows with a null id stay as they are and take no
 part. Rows that repeat an id are one document: the line kept is kept in all of them. Ends of lines are trimmed of blanks for comparison only. Columns
@@ -46,9 +46,13 @@ def long_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataF
 
 
 def shingles(line: str, short: int) -> Column:
-    """The hashes of all shingles of a line, one for each place: cut from each of the first ``short`` places on, which costs less than a look ahead at every place."""
-    cut = lambda k: F.regexp_extract_all(F.substring(line, k + 1, (1 << 31) - 1) if k else F.col(line), F.lit(f"(?s).{{{short}}}"), F.lit(0))
-    return F.transform(F.concat(*map(cut, range(short))), lambda x: F.xxhash64(x))
+    """The hashes of all shingles of a line, one for each place: cut from its UTF-32 form, whose characters all have four bytes, so that no place is searched for."""
+
+    def cut(b: Column) -> Column:
+        places = F.sequence(F.lit(1), F.octet_length(b) - (4 * short - 1), F.lit(4))
+        return F.when(F.octet_length(b) >= 4 * short, F.transform(places, lambda k: F.xxhash64(F.substring(b, k, F.lit(4 * short))))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.encode(F.col(line), "UTF-32"), cut)
 
 
 def word_starts(line: str, wide: int) -> Column:
@@ -96,11 +100,14 @@ def band_keys(lines: DataFrame, short: int, rows: int, least: int = 3, most: int
 
 
 def sketched(lines: DataFrame, short: int) -> DataFrame:
-    """h; n, the number of its line's different shingles; b0, b1, ...: a map of ``64 * WORDS`` bits, those set that the lowest bits of their hashes name."""
+    """h; n, the number of its line's different shingles; b0, b1, ...: a map of ``64 * WORDS`` bits, those set that the lowest bits of an odd number of their hashes name.
+
+    Where two sets agree cancels out, so unlike a map of all bits that occur this one fills with what they differ in only (an odd sketch).
+    """
     # outer: for a plain explode the optimizer adds a filter below it that computes the sets again
     rows = lines.select("h", F.explode_outer(F.array_distinct(shingles("line", short))).alias("s"))
     word, bit = F.shiftright("s", 6).bitwiseAND(F.lit(WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
-    maps = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(WORDS)]
+    maps = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(WORDS)]
     return rows.groupBy("h").agg(F.count("s").alias("n"), *maps)
 
 
@@ -129,62 +136,30 @@ def banded(lines: DataFrame, short: int = 5, rows: int = 7) -> DataFrame:
     return near.where("first < last AND (before IS NULL OR before < h)").drop("last")
 
 
-def prefixes(lines: DataFrame, short: int, percent: int) -> DataFrame:
-    """key, c, h: each line by its bands and, in each, its rarest shingles, as many as make every two lines of that Jaccard similarity share one (the exact prefix filter). lines: h, c, line, keys."""
-    # outer: for a plain explode the optimizer adds a filter below it that computes the sets again
-    rows = lines.select("h", "c", F.explode_outer(F.array_distinct(shingles("line", short))).alias("key")).where("key IS NOT NULL")
-    rows = written(rows, "line-shingles")
-    rare = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("c") < F.max("c")).alias("met"))
-    ranked = rows.join(rare, "key").groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("n", "key", "met"))).alias("s"))
-    # of n shingles at least percent/100, rounded up, are shared; one of them is among the first n + 1 less that number
-    first = F.size("s") + 1 - F.ceil(F.size("s") * percent / F.lit(100)).cast("int")
-    rare = ranked.select("h", "c", F.filter(F.slice("s", 1, first), lambda x: x["met"])["key"].alias("s"))
-    rare = rare.join(lines.select("h", "keys"), "h").select("h", "c", "keys", F.explode("s").alias("s"))
-    return rare.select("h", "c", "s", F.explode("keys").alias("key")).select(F.xxhash64("key", "s").alias("key"), "c", "h")
-
-
-def crossing(bands: DataFrame, alike: DataFrame) -> DataFrame:
-    """key, h, c, others: the lines of every band of several components, each with its own and with the two before it in an order of the band's own."""
+def crossing(bands: DataFrame, alike: DataFrame, crowd: int = 0) -> DataFrame:
+    """key, h, c, crowded: the lines of every band of several components, each with its own, and whether the band has more than ``crowd`` lines. bands: key, h. alike: node, component."""
     rows = bands.join(alike, bands["h"] == alike["node"], "left").select("key", "h", F.coalesce("component", "h").alias("c"))
     band = Window.partitionBy("key")
-    before = lambda k: F.lag(F.struct("h", "c"), k).over(band.orderBy("turn", "h"))
-    rows = rows.withColumn("turn", F.xxhash64("key", "h")).select("key", "h", "c", before(1).alias("x"), before(2).alias("y"), (F.min("c").over(band) < F.max("c").over(band)).alias("several"))
-    return rows.where("several").select("key", "h", "c", F.array("x", "y").alias("others"))
+    rows = rows.select("key", "h", "c", (F.count("*").over(band) > crowd).alias("crowded"), (F.min("c").over(band) < F.max("c").over(band)).alias("several"))
+    return rows.where("several").drop("several")
 
 
-def crossing_pairs(bands: DataFrame, alike: DataFrame, texts: DataFrame, short: int, percent: int, crowd: int = 1000) -> DataFrame:
-    """a, b: all lines that share a band, but no component. bands: key, h. alike: node, component. texts: h, line.
+def crossing_pairs(bands: DataFrame, alike: DataFrame, texts: DataFrame, short: int, percent: int, crowd: int = 0, sketches: DataFrame | None = None) -> DataFrame:
+    """a, b, n, m: all lines that share a band, but no component, and the numbers of their shingles; each pair once. bands: key, h. alike: node, component. texts: h, line.
 
-    Of a band with more than ``crowd`` such pairs for each of its lines, those that share one of their rarest shingles: all that
-    can be similar, as the prefix filter is exact; so no pair that counts is left out.
+    Of a band of more than ``crowd`` lines, those that their sizes and bit maps don't prove unlike: the lines carry both into the join by
+    bands, and its condition compares them, so that only such pairs become rows. That is exact, no pair that can be similar is left out.
     """
-    bands = bands.join(alike, bands["h"] == alike["node"], "left").select("key", "h", F.coalesce("component", "h").alias("c"))
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        groups = rows.groupBy("key", "c").agg(F.collect_set("h").alias("hs"))
-        return written(groups, "line-bands")
-
-    def met(groups: DataFrame, keys: DataFrame) -> DataFrame:
-        groups = groups.join(keys.select("key"), "key")
-        other = groups.select("key", F.col("c").alias("d"), F.col("hs").alias("gs"))
-        pairs = groups.join(other, "key").where("c < d").select(F.explode("hs").alias("h"), "gs").select("h", F.explode("gs").alias("g"))
-        return pairs.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
-
-    groups = grouped(bands)
-    size = F.size("hs").cast("long")
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n"), F.sum(size).alias("lines"), F.sum(size * size).alias("squares")).where("n > 1")
-    sizes = written(sizes.select("key", (F.col("lines") * F.col("lines") - F.col("squares") > 2 * crowd * F.col("lines")).alias("crowded")), "line-band-sizes")
-    out = met(groups, sizes.where("NOT crowded"))
-    crowded = sizes.where("crowded")
-    if crowded.isEmpty():
-        return out
-    lines = groups.join(crowded, "key", "left_semi").select("key", "c", F.explode("hs").alias("h")).groupBy("h", "c").agg(F.collect_set("key").alias("keys"))
-    lines = written(lines.join(texts.select("h", "line"), "h"), "line-crowds")
-    groups = grouped(prefixes(lines, short, percent))
-    return out.unionByName(met(groups, groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))).distinct()
-
-
-def similar_lines(lines: DataFrame, short: int = 5, percent: int = 80, broadcast_ids: int = 500_000, crowd: int = 1000, **how) -> DataFrame:
+    rows = written(crossing(bands, alike, crowd), "line-bands")
+    # a pair is given in the first of the bands that it shares
+    lines = rows.groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("keys")).join(sketches or sketched(texts, short), "h")
+    rows = rows.join(lines, "h")
+    first = F.get(F.array_intersect("x.keys", "y.keys"), F.lit(0)) == F.col("x.key")
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (~F.col("x.crowded") | may_be_alike("x", "y", percent)) & first
+    return rows.alias("x").join(rows.alias("y"), met).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"), F.col("x.n"), F.col("y.n").alias("m"))
+
+
+def similar_lines(lines: DataFrame, short: int = 5, percent: int = 80, broadcast_ids: int = 500_000, crowd: int = 0, **how) -> DataFrame:
     """h, g, component: lines that are near copies of others; component is the smallest h of theirs.
 
     Should two lines have one h, only the first by g takes part: no line is then taken for another.
@@ -197,24 +172,19 @@ def similar_lines(lines: DataFrame, short: int = 5, percent: int = 80, broadcast
     sketches = written(sketched(texts, short), "line-sketches")
     discard(lines)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def possible(pairs: DataFrame) -> DataFrame:
         size = lambda c, to: sketches.select(F.col("h").alias(c), F.struct(*(x for x in sketches.columns if x != "h")).alias(to))
-        pairs = pairs.join(size("a", "x"), "a").join(size("b", "y"), "b").where(may_be_alike("x", "y", percent)).select("a", "b", F.col("x.n"), F.col("y.n").alias("m"))
+        return pairs.join(size("a", "x"), "a").join(size("b", "y"), "b").where(may_be_alike("x", "y", percent)).select("a", "b", F.col("x.n"), F.col("y.n").alias("m"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
         return written(alike_pairs(both, "x", "y", short, percent), "line-links")
 
-    # first each line with the one before it and the first, which joins most copies; where a band still has several components,
-    # each with two others, not the same in every band; then all that are not joined
+    # first each line with the one before it and the first, which joins most copies; then all that are not joined
     near = bands.where("before < h").select("h", F.explode_outer(F.array_distinct(F.array("before", "first"))).alias("other"))
-    near = written(near.select(F.col("other").alias("a"), F.col("h").alias("b")).distinct(), "line-pairs")
-    links = verified(near)
-    last, bands = bands, written(crossing(bands.select("key", "h"), components(links)), "line-bands")
-    discard(last)
-    more = bands.select("h", "c", F.explode("others").alias("x")).where("x.c <> c").select(F.least("h", "x.h").alias("a"), F.greatest("h", "x.h").alias("b")).distinct()
-    more = written(more.join(near, ["a", "b"], "left_anti"), "line-pairs")
-    links = links.unionByName(verified(more))
-    rest = crossing_pairs(bands.select("key", "h"), components(links), texts, short, percent, crowd)
-    rest = written(rest.join(near.unionByName(more), ["a", "b"], "left_anti"), "line-pairs")
+    near = near.select(F.col("other").alias("a"), F.col("h").alias("b")).distinct()
+    links = verified(possible(near))
+    rest = written(crossing_pairs(bands.select("key", "h"), components(links), texts, short, percent, crowd, sketches), "line-pairs")
     alike = components(links.unionByName(verified(rest)))
     return texts.join(alike, texts["h"] == alike["node"]).select("h", "g", "component")
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from platewright.llm import line_dedup as d
 
 
@@ -173,6 +175,48 @@ def test_no_pair_of_a_crowded_band_is_left_out(spark):
     assert len(got[1]) < len(got[1000])
 
 
+def test_lines_of_a_common_passage_make_few_pairs(spark):
+    """Lines that share a passage and several bands: of their 3,160 pairs only those that can be similar become rows, once each, and no similar one is missed."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(4, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, lines = text(80), []
+    for _ in range(40):
+        line = f"{text(20)} {passage} {text(20)}"
+        lines += [line, line.replace(passage[:9], "Another")]
+    pairs = [(i, j) for i in range(80) for j in range(i + 1, 80)]
+    similar = {(i, j) for i, j in pairs if len(shingle_set(lines[i]) & shingle_set(lines[j])) >= 0.8 * len(shingle_set(lines[i]) | shingle_set(lines[j]))}
+    assert len(similar) == 40
+    bands = spark.createDataFrame([(key, i) for key in (7, 8, 9) for i in range(80)], "key long, h long")
+    texts, alone = spark.createDataFrame(list(enumerate(lines)), "h long, line string"), spark.createDataFrame([], "node long, component long")
+    got = sorted((r["a"], r["b"]) for r in d.crossing_pairs(bands, alone, texts, 5, 80).collect())
+    assert similar <= set(got) and len(got) == len(set(got)) < 80
+
+
+def test_maps_rule_out_lines_that_are_half_alike(spark):
+    rng = random.Random(17)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    rows = []
+    for size in (60, 300, 900):
+        for _ in range(20):
+            passage = text(size)
+            rows += [(passage + text(size // 3), passage + text(size // 3)), (passage + text(size // 20), passage)]
+    lines = spark.createDataFrame([(2 * k + i, x) for k, p in enumerate(rows) for i, x in enumerate(p)], "h long, line string")
+    maps = d.sketched(lines, 5)
+    met = maps.alias("x").join(maps.alias("y"), (F.col("x.h") % 2 == 0) & (F.col("x.h") + 1 == F.col("y.h")))
+    kept = {r["h"] // 2 for r in met.where(d.may_be_alike("x", "y", 80)).select("x.h").collect()}
+    alike = {k for k, (x, y) in enumerate(rows) if len(shingle_set(x) & shingle_set(y)) >= 0.8 * len(shingle_set(x) | shingle_set(y))}
+    assert len(alike) == 60 and alike <= kept and len(kept - alike) <= 3
+
+
+def test_shingles_of_any_characters(spark):
+    lines = ["", "abcd", "abcde", "näive 漢字 \U0001f600\U0001f601 x", "aaaaaaa"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    got = {r["h"]: r["s"] for r in rows.select("h", d.shingles("line", 5).alias("s")).collect()}
+    for k, x in enumerate(lines):
+        assert len(got[k]) == max(0, len(x) - 4) and len(set(got[k])) == len(shingle_set(x))
+
+
 def test_shuffle_files_go_with_their_query(spark):
     import time
 
