@@ -20,7 +20,9 @@ each. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -40,20 +42,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of ASCII letters and those from U+00C0 to U+00FF, in UTF-8.
+_LETTERS = re.compile(rb"[A-Za-z]*(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][A-Za-z]*)*").fullmatch
+#: ASCII punctuation without the characters of special tokens.
+_MARKS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+
+
+def _runs_of_letters(spec: dict) -> bool:
+    """Whether a tokenizer is byte-level BPE over lower-cased runs of letters, with a mark at the end of each."""
+    normal, pre, model = (spec[k] or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = [{k: v for k, v in x.items() if k != "trim_offsets"} for x in pre.get("pretokenizers", [])]
+    return (
+        normal.get("normalizers") == [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+        and steps
+        == [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+        ]
+        and not spec["post_processor"]
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        and not any(_LETTERS(x["content"].encode()) for x in spec["added_tokens"])
+    )
+
+
 class Encoder:
     """Texts to little-endian 32-bit ids, by way of a memo of white-space separated words; beyond ``memo`` of them the later half goes.
 
     New words are encoded many at once, with a bar between them: a bar among white space is one token
     of its own, and no word without a bar has it. ASCII letters are lower-cased first, as the tokenizer
     itself does, unless the text may hold one of its special tokens. Full stops, commas and the like
-    after an ASCII letter or digit are a token run of their own, so a word is encoded without them.
+    after a letter or digit are a token run of their own, so a word is encoded without them.
+
+    Most new words are Latin letters only. The normalizer does no more than lower-case these and the
+    pre-tokenizer leaves each in one run, so they go to the tokenizer's model alone, with blanks between
+    them: the last token of each is one of those that end a word.
     """
 
     def __init__(self, path: str, memo: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        with open(path, encoding="utf-8") as f:
+            self.plain = _runs_of_letters(json.load(f))
+        if self.plain:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.last = np.zeros(1 + max(self.model.get_vocab().values()), bool)
+            self.last[[i for x, i in self.model.get_vocab().items() if x.endswith("</w>")]] = True
         bar = self._ids("|")
         if len(bar) != 1 or self._ids("A").tolist() != self._ids("a").tolist():
             raise ValueError("this tokenizer has no single token for a bar, or doesn't lower-case")
@@ -63,13 +99,28 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[bytes]) -> None:
-        split = {w: head for w in words if (head := w.rstrip(b".,!?;:")) and len(head) < len(w) and head[-1:].isalnum()}
+        marks = _MARKS if self.plain else b".,!?;:"
+        split = {w: head for w in words if not w.isalpha() and len(head := w.rstrip(marks)) < len(w) and (head[-1:].isalnum() or (self.plain and head and _LETTERS(head)))}
         parts = {*split.values(), *(w[len(head) :] for w, head in split.items()), *(w for w in words if w not in split)}
         self._learn([w for w in parts if w not in self.known])
         for w, head in split.items():
             self.known[w] = self.known[head] + self.known[w[len(head) :]]
 
+    def _learn_plain(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            text = b" ".join(part).decode().lower().encode().decode("latin-1").replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143")  # the byte-level alphabet
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(part, (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), strict=True):
+                self.known[w] = data[begin:end]
+                begin = end
+
     def _learn(self, words: list[bytes]) -> None:
+        if self.plain:
+            letters = [w for w in words if w.isalpha() or _LETTERS(w)]
+            self._learn_plain(letters)
+            words = set(words).difference(letters)
         odd = [w for w in words if b"|" in w]
         words = [w for w in words if b"|" not in w]
         for w in odd:

@@ -21,6 +21,29 @@ def test_memo_gives_the_tokenizer_ids():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
 
 
+def test_words_of_letters_go_to_the_model_alone():
+    from tokenizers import Tokenizer
+
+    class Counted:
+        texts: list = []
+
+        def encode(self, text, **how):
+            self.texts.append(text)
+            return t.encode(text, **how)
+
+    t, encode = Tokenizer.from_file(p.default_tokenizer()), p.Encoder(p.default_tokenizer())
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(192, 256)] if c not in (215, 247)]
+    rng = random.Random(2)
+    plain = letters + ["".join(rng.choices(letters, k=rng.randint(2, 12))) + rng.choice(["", "", ".", "?!", "$$$", "(-)", "'"]) for _ in range(3000)]
+    encode.tokenizer = Counted()
+    odd = ["a×b", "÷", "é\u0301", "e\u0301", "İx", "ŉa", "ſt", "Σας", "l'été's", "x's.", "d'un'", "a1b2", "½²", "naïve|", "<|endoftext|>é", "É<|x", "a\xa0ü", "fi\x00", "ªº", "K\u212a", "\u1e9eß", "ﬁ"]
+    for texts in (plain, odd, ["  ".join(plain[:900]), " ".join(odd)]):
+        got = [np.frombuffer(g, "<u4").tolist() for g in encode([x.encode() for x in texts])]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        if texts is plain:
+            assert encode.known and not any(c.isalpha() for x in Counted.texts for c in x)
+
+
 def test_best_fit_decreasing_equals_a_plain_search():
     rng = random.Random(1)
     for _ in range(30):
