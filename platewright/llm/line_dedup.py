@@ -46,11 +46,14 @@ def long_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataF
 
 
 def shingles(line: str, short: int) -> Column:
-    """The hashes of all shingles of a line, one for each place: cut from its UTF-32 form, whose characters all have four bytes, so that no place is searched for."""
+    """The hashes of all shingles of a line, one for each place: cut from its UTF-32 form, whose characters all have four bytes, so that no place is searched for.
+
+    The type of the empty array is one without nulls, by which Spark sorts and compares the hashes as plain longs.
+    """
 
     def cut(b: Column) -> Column:
         places = F.sequence(F.lit(1), F.octet_length(b) - (4 * short - 1), F.lit(4))
-        return F.when(F.octet_length(b) >= 4 * short, F.transform(places, lambda k: F.xxhash64(F.substring(b, k, F.lit(4 * short))))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.octet_length(b) >= 4 * short, F.transform(places, lambda k: F.xxhash64(F.substring(b, k, F.lit(4 * short))))).otherwise(F.array_repeat(F.lit(0).cast("long"), F.lit(0)))
 
     return let(F.encode(F.col(line), "UTF-32"), cut)
 
@@ -82,21 +85,19 @@ def band_keys(lines: DataFrame, short: int, rows: int, least: int = 3, most: int
 
     Sets in 16 parts have keys of the ``most`` smallest hashes of a part, or of ``least``, the next parts' among them, where it has fewer:
     a single frequent shingle is no key. The small sets have keys of up to ``rows`` hashes, of one part only, as it is their size that finds like ones.
-    The lowest value of each part is sorted in with the hashes, so that a part is a slice between two of
-    these marks: found in generated code, without a lambda for each hash.
+    The sorted hashes become rows, and the first of each part looks up those that follow it: generated code
+    throughout, without a lambda or a slice for each key.
     """
-    start = lambda part, bits: F.call_function("shiftleft", part.cast("long"), F.lit(64) - bits).bitwiseXOR(F.lit(-(1 << 63)))
-    marks = lambda bits: F.array(*(start(F.lit(k), F.lit(bits)) for k in range(1 << bits)))
-    bits, part = F.col("bits"), F.col("part")
+    s, at, bits, n = F.col("s"), F.col("at"), F.col("bits"), F.size("s")
+    hash_at = lambda k: F.get(s, k)
+    # the highest bits, by which the sorted hashes stand part by part
+    part = lambda x: F.when(bits == 4, F.shiftright(x, 60)).when(bits == 3, F.shiftright(x, 61)).otherwise(F.shiftright(x, 62))
     keyed = band_sets(lines, short).select("h", "bits", F.sort_array("s").alias("s"))
-    keyed = keyed.select("h", "bits", F.concat("s", F.slice("s", 1, least)).alias("round"), F.sort_array(F.concat("s", F.when(bits == 2, marks(2)).when(bits == 3, marks(3)).otherwise(marks(4)))).alias("s"))
-    parts = F.call_function("shiftleft", F.lit(1), bits)
-    keyed = keyed.select("h", "bits", "round", "s", F.explode_outer(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    after = F.when(part + 1 == parts, F.size("s") + 1).otherwise(F.array_position("s", start(part + 1, bits)).cast("int"))
-    mark = F.array_position("s", start(part, bits)).cast("int")
-    keyed = keyed.select("h", "bits", "round", (mark - part).alias("first"), (after - mark - 1).alias("n")).where("n > 0")
-    taken = F.when(bits == 4, F.greatest(F.lit(least), F.least(F.lit(most), F.col("n")))).otherwise(F.least(F.lit(rows), F.col("n")))
-    return keyed.select(F.xxhash64("bits", F.slice("round", F.col("first"), taken)).alias("key"), "h")
+    keyed = keyed.select("h", "bits", "s", F.posexplode_outer("s").alias("at", "x")).where((at == 0) | (part(hash_at(at - 1)) != part(F.col("x"))))
+    own = lambda k: F.when(part(hash_at(at + k)) == part(F.col("x")), hash_at(at + k))  # noqa: E731  null, which adds nothing to a hash, past the part
+    least_of = lambda k: hash_at(F.when(at + k < n, at + k).otherwise(F.pmod(at + k, n)))
+    taken = [F.when(bits == 4, least_of(k) if k < least else own(k) if k < most else F.lit(None)).otherwise(own(k) if k < rows else F.lit(None)) for k in range(1, max(most, rows))]
+    return keyed.select(F.xxhash64("bits", "x", *taken).alias("key"), "h")
 
 
 def sketched(lines: DataFrame, short: int) -> DataFrame:
@@ -131,9 +132,11 @@ def banded(lines: DataFrame, short: int = 5, rows: int = 7) -> DataFrame:
     """key, h, before, first: the lines of every band with different lines, once each, the one before it and the first. lines: h, line."""
     keyed = band_keys(lines, short, rows)
     band = Window.partitionBy("key")
-    near = keyed.select("key", "h", F.lag("h").over(band.orderBy("h")).alias("before"), F.first("h").over(band.orderBy("h")).alias("first"), F.max("h").over(band).alias("last"))
+    # most keys are of one line: they go before the lines of a band are sorted
+    shared = keyed.select("key", "h", F.min("h").over(band).alias("first"), F.max("h").over(band).alias("last")).where("first < last")
+    near = shared.select("key", "h", F.lag("h").over(band.orderBy("h")).alias("before"), "first")
     # copies of one line stand side by side; the first of them sees the line before them
-    return near.where("first < last AND (before IS NULL OR before < h)").drop("last")
+    return near.where("before IS NULL OR before < h")
 
 
 def crossing(bands: DataFrame, alike: DataFrame, crowd: int = 0) -> DataFrame:

@@ -233,3 +233,26 @@ def test_shuffle_files_go_with_their_query(spark):
             break
         time.sleep(0.1)
     assert not files() - before and out.count() == 5000
+
+
+def test_band_keys_are_the_smallest_hashes_of_each_part(spark):
+    rng, words = random.Random(19), []
+    for size in (6, 12, 20, 36, 60, 150, 400, 1500):
+        words += ["".join(rng.choice("abcdefghijklmnopqrst" + " " * blanks) for _ in range(size)) for blanks in (0, 1, 6)]
+    lines = spark.createDataFrame(list(enumerate(words)), "h long, line string")
+    sets = d.band_sets(lines, 5)
+    assert not sets.schema["s"].dataType.containsNull  # else each hash is an object for Spark's sort
+    want = set()
+    for r in sets.where("s is not null").collect():
+        s, bits = sorted(r["s"]), r["bits"]
+        part = [(x >> (64 - bits)) for x in s]
+        for p in set(part):
+            at, n = part.index(p), part.count(p)
+            take = max(3, min(4, n)) if bits == 4 else min(7, n)
+            want.add((bits, tuple((s + s[:3])[at : at + take]), r["h"]))
+    assert {b for b, _, _ in want} == {2, 3, 4}
+    keys = spark.createDataFrame([(b, list(x), h) for b, x, h in want], "bits int, x array<bigint>, h long").select(F.xxhash64("bits", "x").alias("key"), "h")
+    got = d.band_keys(lines, 5, 7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, keys.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "array_position(" not in plan
