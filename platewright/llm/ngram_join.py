@@ -341,16 +341,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-def keep(spark, docs: DataFrame, **how) -> DataFrame:
-    """One document of each component: that with the smallest id (of rows that repeat it, that with the smallest text, a null text first). Rows with a null id stay."""
-    first = link_components(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*map(named, docs.columns))
-    again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti").select(*map(named, docs.columns))
+def keep(spark, docs: DataFrame, broadcast_ids: int = 1_000_000, **how) -> DataFrame:
+    """One document of each component: that with the smallest id (of rows that repeat it, that with the smallest text, a null text first). Rows with a null id stay.
+
+    Only the ids that go and those of several rows meet the documents, whose texts don't shuffle while these are few.
+    """
+    linked = written(link_components(docs, broadcast_ids=broadcast_ids, **how).where("doc_id IS NOT NULL"), "linked")
+    ids = linked.groupBy(F.col("doc_id").alias("_nj_id")).agg(F.max(F.expr("doc_id = component_id")).alias("stays"), F.count("*").alias("n"))
+    marked = written(ids.where("NOT stays OR n > 1").select("_nj_id", "stays"), "marked")
+    few = marked.count() <= broadcast_ids  # 9 bytes each
+    met = lambda some, kind: docs.join(F.broadcast(some) if few else some, docs["doc_id"] == some["_nj_id"], kind)
     others = [named(c) for c in docs.columns if c != "text"]
-    one = kept.join(again, "doc_id", "left_semi").select(F.struct(named("text"), *others).alias("_nj_row"), named("doc_id").alias("_nj_id"))
+    one = met(marked.where("stays").select("_nj_id"), "left_semi").select(F.struct(named("text"), *others).alias("_nj_row"), named("doc_id").alias("_nj_id"))
     one = one.groupBy("_nj_id").agg(F.min("_nj_row").alias("r")).select(*(F.col("r")[c].alias(c) for c in docs.columns))
-    return once.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
+    return met(marked.select("_nj_id"), "left_anti").unionByName(one)
 
 
 SQL = r"""

@@ -147,3 +147,23 @@ def test_blocks_of_long_documents_are_bounded_by_bytes(spark):
 def test_of_rows_with_one_id_the_smallest_text_stays(spark):
     frame = spark.createDataFrame([(1, "b b", 1), (1, "a a", 2), (2, "c", 3), (None, "a a", 4)], "doc_id long, text string, n long")
     assert sorted(map(str, (tuple(r) for r in j.keep(spark, frame).collect()))) == ["(1, 'a a', 2)", "(2, 'c', 3)", "(None, 'a a', 4)"]
+
+
+def test_texts_that_stay_do_not_shuffle(spark, tmp_path):
+    """What stays is decided by ids; the documents then meet the few ids that go, and are aggregated only where rows repeat an id."""
+    docs = [(i, t, i % 3) for i, t in corpus(3)] + [(7, "twice a b c d", 1), (7, "twice a b c", 2), (None, "one two three", 3), (None, None, 4)]
+    spark.createDataFrame(docs, "doc_id long, text string, n long").write.parquet(f"{tmp_path}/docs")
+    frame = spark.read.parquet(f"{tmp_path}/docs")
+    kept = j.keep(spark, frame)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    # the ids, broadcast for either part, and the rows that repeat an id
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1 and "SortMergeJoin" not in plan
+    rows = sorted(map(str, (tuple(r) for r in kept.collect())))
+    assert rows == sorted(map(str, (tuple(r) for r in j.keep(spark, frame, broadcast_ids=0).collect())))
+    linked = [tuple(r) for r in j.link_components(frame).select("doc_id", "component_id").collect()]
+    stay = {i for i, c in linked if i is not None and i == c}
+    first = {}
+    for r in docs:
+        if r[0] in stay:
+            first[r[0]] = min(first.get(r[0], r), r, key=lambda x: (x[1] is not None, x[1] or "", x[2]))
+    assert rows == sorted(map(str, [*first.values(), *(r for r in docs if r[0] is None)]))
