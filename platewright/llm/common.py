@@ -48,16 +48,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's number of partitions of a shuffle.
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def one_file_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, raised to that from which Spark sorts a task's rows into one file, if it is not far below it.
+
+    With fewer a task opens, copies and removes a file for each partition, which costs more than the rows of a small shuffle.
+    """
+    n, most = int(spark.conf.get(PARTITIONS)), int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return most + 1 if most // 2 < n <= most else n
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, a lost executor costs no recomputation, and the shuffle files go at once."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    meanwhile = {CLEANUP: "true", PARTITIONS: str(one_file_partitions(spark))}
+    before = {k: spark.conf.get(k, None) for k in meanwhile}
     try:
+        for k, v in meanwhile.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -69,11 +69,14 @@ def band_sets(lines: DataFrame, short: int) -> DataFrame:
     Like lines have a set of one kind in common: kinds go by numbers of different shingles, and those near a limit have both kinds.
     """
     rows = lines.where(F.length("line") >= short).select("h", "line", F.array_distinct(word_starts("line", 2 * short)).alias("w"))
-    # outer: for a plain explode the optimizer adds a filter below it that computes the sets again
+    # outer: for a plain explode the optimizer adds a filter below it that computes the sets again; and what stands in an explode
+    # isn't compiled, so the repeated hashes go in a step of their own
     few = (F.size("w") < 48) | (F.length("line") > 16 * F.size("w"))
-    rows = rows.select("h", "line", "w", F.explode_outer(F.array(F.when(few, F.array_distinct(shingles("line", short + 3))))).alias("m"))
+    rows = rows.select("h", "line", "w", F.explode_outer(F.array(F.when(few, shingles("line", short + 3)))).alias("m"))
+    rows = rows.withColumn("m", F.array_distinct("m"))
     # a line of n different shingles has n - 3 different ones that are 3 longer, at least
-    rows = rows.select("h", "w", "m", F.explode_outer(F.array(F.when(F.size("m") <= 64, F.array_distinct(shingles("line", short))))).alias("s"))
+    rows = rows.select("h", "w", "m", F.explode_outer(F.array(F.when(F.size("m") <= 64, shingles("line", short)))).alias("s"))
+    rows = rows.withColumn("s", F.array_distinct("s"))
     n = F.size("s")
     kind = lambda where, bits, s: F.when(where, F.struct(F.lit(bits).alias("bits"), F.col(s).alias("s")))
     kinds = F.array(kind(F.size("w") >= 32, 4, "w"), kind(F.size("m") >= 29, 4, "m"), kind((n >= 16) & (n <= 38), 3, "s"), kind((n > 0) & (n <= 18), 2, "s"))
@@ -105,8 +108,8 @@ def sketched(lines: DataFrame, short: int) -> DataFrame:
 
     Where two sets agree cancels out, so unlike a map of all bits that occur this one fills with what they differ in only (an odd sketch).
     """
-    # outer: for a plain explode the optimizer adds a filter below it that computes the sets again
-    rows = lines.select("h", F.explode_outer(F.array_distinct(shingles("line", short))).alias("s"))
+    # outer: for a plain explode the optimizer adds a filter below it that computes the sets again; in an explode itself they wouldn't be compiled
+    rows = lines.select("h", F.array_distinct(shingles("line", short)).alias("s")).select("h", F.explode_outer("s").alias("s"))
     word, bit = F.shiftright("s", 6).bitwiseAND(F.lit(WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
     maps = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0).cast("long")).alias(f"b{k}") for k in range(WORDS)]
     return rows.groupBy("h").agg(F.count("s").alias("n"), *maps)
@@ -122,10 +125,11 @@ def may_be_alike(a: str, b: str, percent: int) -> Column:
 def alike_pairs(pairs: DataFrame, a: str, b: str, short: int, percent: int) -> DataFrame:
     """The pairs whose sets of shingles, each shingle as its 64-bit hash, have at least that Jaccard similarity; empty sets are unlike. n and m: the sizes of the sets.
 
-    The condition stands in an outer explode, below which a filter isn't pushed: it would compute the sets again.
+    The condition's result passes an outer explode, below which a filter isn't pushed: it would compute the sets again. It is computed before, as an explode's own expressions aren't compiled.
     """
     shared = F.size(F.array_intersect(shingles(a, short), shingles(b, short))) * (100 + percent) >= F.greatest(F.lit(1), F.col("n") + F.col("m")) * percent
-    return pairs.select(*(c for c in pairs.columns if c not in (a, b, "n", "m")), F.explode_outer(F.array(shared)).alias("_ld_ok")).where("_ld_ok").drop("_ld_ok")
+    kept = [c for c in pairs.columns if c not in (a, b, "n", "m")]
+    return pairs.select(*kept, shared.alias("_ld_ok")).select(*kept, F.explode_outer(F.array("_ld_ok")).alias("_ld_ok")).where("_ld_ok").drop("_ld_ok")
 
 
 def banded(lines: DataFrame, short: int = 5, rows: int = 7) -> DataFrame:

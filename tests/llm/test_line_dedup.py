@@ -256,3 +256,21 @@ def test_band_keys_are_the_smallest_hashes_of_each_part(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, keys.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" not in plan and "array_position(" not in plan
+
+
+def test_scratch_tables_shuffle_into_one_file_a_task(spark, monkeypatch):
+    """Spark opens a file for each partition of a task up to 200 of them: scratch tables are written with one more, and the session keeps its number."""
+    from pyspark.sql import DataFrameWriter
+
+    from platewright.llm.common import PARTITIONS, written
+
+    seen, write, own = [], DataFrameWriter.parquet, spark.conf.get(PARTITIONS)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(self._spark.conf.get(PARTITIONS)), write(self, *a, **k))[1])
+    try:
+        for n in ("200", "101", "100", "4", "211"):
+            spark.conf.set(PARTITIONS, n)
+            assert written(spark.range(50).groupBy((F.col("id") % 5).alias("k")).count(), "few").count() == 5
+            assert spark.conf.get(PARTITIONS) == n
+    finally:
+        spark.conf.set(PARTITIONS, own)
+    assert seen == ["201", "201", "100", "4", "211"]
